@@ -1,10 +1,12 @@
-"""Scans along time for one key, safe when one key holds most of the rows.
-
-A plain ``Window.partitionBy(key)`` puts all rows of a key into one task. Here
-every key is first cut into spans of time. Each span is scanned by its own
-task; what a span needs from the earlier ones is one summary row per span,
-aggregated map-side, so the only thing ordered per key is the short list of
-its spans. Rows must be unique per ``(key, time)``.
+"""Scans along time for one key.
+
+Tables here hold at most one row (or a fixed few) per key and calendar day, so
+the history of a key is as long as the calendar, some tens of thousands of
+rows in a century, however large the table is: one window per key, one shuffle
+and one pass. Where times are finer than days that bound is gone; then pass
+``span_days``. Each key is cut into spans of that many days, every span is
+scanned by its own task, and what it needs from earlier spans is one summary
+row per span, aggregated map-side. That costs a second pass over the input.
 """
 
 from __future__ import annotations
@@ -14,10 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN_DAYS = 366
-
-
-def span(ts: Column | str, days: int = SPAN_DAYS) -> Column:
+def span(ts: Column | str, days: int) -> Column:
     """Index of the time span that ``ts`` (date or timestamp) falls in."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_date(col.cast("date")) / F.lit(days)).cast("int")
@@ -28,12 +27,15 @@ def _key(on: Sequence[str]) -> list[Column]:
 
 
 def previous(
-    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], cols: Mapping[str, str], *, span_days: int = SPAN_DAYS
+    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], cols: Mapping[str, str], *, span_days: int
 ) -> DataFrame:
     """``lag`` by one row along ``ts`` per key; ``cols`` maps new name to source column."""
     names = df.columns
     order = [ts] if isinstance(ts, str) else list(ts)
     value = F.struct(*[F.col(src).alias(out) for out, src in cols.items()])
+    if span_days is None:
+        w = Window.partitionBy(*_key(on)).orderBy(*order)
+        return df.select(*df.columns, *[F.lag(src, 1).over(w).alias(out) for out, src in cols.items()])
     base = df.withColumn("_s", span(order[0], span_days)).withColumn("_v", value).withColumn("_t", F.struct(*order))
     tails = base.groupBy(*on, "_s").agg(F.max_by("_v", "_t").alias("_tail"))
     along = Window.partitionBy(*_key(on)).orderBy("_s")
@@ -55,10 +57,13 @@ def running(
     ts: str | Sequence[str],
     sums: Mapping[str, Column],
     *,
-    span_days: int = SPAN_DAYS,
+    span_days: int,
 ) -> DataFrame:
     """Inclusive running sums along ``ts`` per key. ``sums`` maps new name to a summand."""
     order = [ts] if isinstance(ts, str) else list(ts)
+    if span_days is None:
+        w = Window.partitionBy(*_key(on)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, *[F.sum(expr).over(w).alias(out) for out, expr in sums.items()])
     base = df.withColumn("_s", span(order[0], span_days))
     for out, expr in sums.items():
         base = base.withColumn(f"_x_{out}", expr)
@@ -79,7 +84,7 @@ def running(
 
 
 def row_index(
-    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], name: str = "idx", *, span_days: int = SPAN_DAYS
+    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], name: str = "idx", *, span_days: int
 ) -> DataFrame:
     """Position of each row along ``ts`` within its key, counted from 0."""
     return running(df, on, ts, {name: F.lit(1).cast("bigint")}, span_days=span_days).withColumn(
@@ -98,5 +103,8 @@ def shifted(
 
 
 def attach(df: DataFrame, on: Sequence[str], **stats: Column) -> DataFrame:
-    """Join group statistics onto the rows (partial aggregation, no group in one task)."""
+    """Join group statistics onto the rows: partial aggregation, so no group has to fit one task.
+
+    Reads ``df`` twice; give it something cheap to read again.
+    """
     return df.join(df.groupBy(*on).agg(*[c.alias(n) for n, c in stats.items()]), list(on))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pitlane.functions.scalar import guarded_div, log_positive
 from pitlane.operators.asof import STALE_DAYS, YEAR_LAG_DAYS, asof_join, forward_return, series
 from pitlane.operators.ordered import attach
-from pitlane.operators.ranks import ordinal_rank
+from pitlane.operators.ranks import needs_split, ordinal_rank
 from pitlane.operators.universe import members_on
+from pitlane.session import cut
 
 # The filing fields read, in output order.
 LEVEL_FIELDS = (
@@ -88,9 +89,16 @@ def features_at(keys: DataFrame, filings: DataFrame, *, dimension: str = "ART")
     return both.select(*keys.columns, *LEVEL_FIELDS, *RATIO_FIELDS, *[c.alias(n) for n, c in derived.items()])
 
 
-def enough_features(panel: DataFrame, minimum: int = 10, names: Sequence[str] = FEATURES) -> DataFrame:
-    known = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    return panel.where(known >= minimum)
+def count_known(panel: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Adds ``n_features``, how many features are known."""
+    return panel.withColumn("n_features", F.array_size(F.array_compact(F.array(*[F.col(c) for c in names]))))
+
+
+def enough_features(panel: DataFrame, minimum: int = 10) -> DataFrame:
+    """Rows with enough known features. Best on a stored ``n_features`` column: a
+    filter over all the features themselves is costly to optimise."""
+    counted = panel if "n_features" in panel.columns else count_known(panel)
+    return counted.where(F.col("n_features") >= minimum)
 
 
 def scale_by_assets(panel: DataFrame) -> DataFrame:
@@ -146,10 +154,15 @@ def cross_sections(
     min_names: int = 50,
     min_features: int = 10,
 ) -> DataFrame:
-    """Members of each date with their features and the demeaned label, as one long table."""
+    """Members of each date with their features and the demeaned label, as one long table.
+
+    The feature rows are stored once (see :func:`pitlane.session.cut`): the
+    labels, the counts per date and all that follows read them again.
+    """
     names = members_on(dates, membership)
     capped = market_caps_at(names, caps)
-    rows = enough_features(features_at(capped, filings, dimension=dimension), min_features)
+    stored = cut(count_known(features_at(capped, filings, dimension=dimension)))
+    rows = enough_features(stored, min_features)
     labelled = with_target(rows, target, prices=prices, dates=dates)
     counted = attach(labelled, ["date"], n_names=F.count(F.lit(1)), _mean=F.avg("target"))
     panel = (
@@ -164,18 +177,20 @@ def cross_sections(
 
 def rank_normalise(
     panel: DataFrame, features: Sequence[str] = FEATURES, *, by: Sequence[str] = ("date",), name: str = "ticker",
-    cuts: int = 8,
+    cuts: int = 8, split: bool | None = None,
 ) -> DataFrame:
     """Long table ``(by, ticker, feature, z)``: ordinal ranks per date and feature, mapped to [-1, 1].
 
     Only known values are listed; a missing value counts as 0, as does a lone
     one. Ties go in ticker order. All features share one shuffle.
     """
+    if split is None:
+        split = needs_split(panel, by)
     pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).alias("v")) for i, f in enumerate(features)])
     long = panel.select(*by, name, F.explode(pairs).alias("_f")).select(*by, name, "_f.feature", "_f.v").where(
         F.col("v").isNotNull()
     )
-    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts)
+    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts, split=split)
     z = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
         (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1)) * 2.0 - 1.0
     )

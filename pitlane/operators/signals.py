@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pitlane.functions.stats import pearson
 from pitlane.operators.asof import forward_return
-from pitlane.operators.ordered import attach
-from pitlane.operators.ranks import average_rank, exact_median, ordinal_rank
+from pitlane.operators.ranks import exact_median, needs_split, ordinal_rank, rank_table
 from pitlane.operators.universe import keep_members
+from pitlane.session import cut
 
 N_DECILES = 10
 MIN_NAMES = 30
@@ -33,18 +33,24 @@ def score_returns(
     return out.where(F.col("ret").isNotNull()).drop("next_date")
 
 
-def rank_ic(pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret") -> DataFrame:
+def rank_ic(
+    pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret", split: bool | None = None
+) -> DataFrame:
     """Spearman correlation per group with average ranks; null below three names or on a constant side."""
-    ranked = average_rank(average_rank(pairs, by, score, name="_rs"), by, ret, name="_rr")
+    if split is None:
+        split = needs_split(pairs, by)
+    ranked = pairs.select(*by, score, ret)
+    for col, name in ((score, "_rs"), (ret, "_rr")):
+        ranked = ranked.join(rank_table(pairs, by, col, name=name, split=split), [*by, col])
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"), pearson("_rs", "_rr", 3).alias("rank_ic"))
 
 
 def decile_spread(
     pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret", name: str = "ticker",
-    n_deciles: int = N_DECILES,
+    n_deciles: int = N_DECILES, split: bool | None = None,
 ) -> DataFrame:
     """Mean return of the top ``n div 10`` names minus that of the bottom ones; null below two names per decile."""
-    ranked = ordinal_rank(pairs, by, [F.col(score), F.col(name)])
+    ranked = ordinal_rank(pairs, by, [F.col(score), F.col(name)], split=split)
     size = F.floor(F.col("n") / n_deciles)
     top = F.avg(F.when(F.col("rn") > F.col("n") - size, F.col(ret)))
     bottom = F.avg(F.when(F.col("rn") <= size, F.col(ret)))
@@ -56,9 +62,13 @@ def decile_spread(
 def signal_months(
     pairs: DataFrame, *, by: Sequence[str] = ("date",), min_names: int = MIN_NAMES, n_deciles: int = N_DECILES
 ) -> DataFrame:
-    """One row per date that has enough names: count, rank IC, decile spread."""
-    kept = attach(pairs, by, _n=F.count(F.lit(1))).where(F.col("_n") >= min_names).drop("_n")
-    return rank_ic(kept, by=by).join(decile_spread(kept, by=by, n_deciles=n_deciles), list(by))
+    """One row per date that has enough names: count, rank IC, decile spread.
+
+    ``pairs`` is read several times (see :mod:`pitlane.operators.ranks`).
+    """
+    split = needs_split(pairs, by)
+    ic = rank_ic(pairs, by=by, split=split).where(F.col("n_names") >= min_names)
+    return ic.join(decile_spread(pairs, by=by, n_deciles=n_deciles, split=split), list(by))
 
 
 def newey_west(months: DataFrame, value: str, *, by: Sequence[str] = (), date: str = "date", lags: int = NW_LAGS) -> DataFrame:
@@ -107,7 +117,8 @@ def diagnose(
     min_names: int = MIN_NAMES, n_deciles: int = N_DECILES,
 ) -> DataFrame:
     """The whole diagnosis by month: members only, forward returns, IC and spread."""
-    pairs = score_returns(keep_members(scores, membership), prices, price=price, by=by)
+    own = cut(keep_members(scores, membership))
+    pairs = cut(score_returns(own, prices, price=price, by=by).select(*by, "date", "ticker", "score", "ret"))
     return signal_months(pairs, by=[*by, "date"], min_names=min_names, n_deciles=n_deciles)
 
 
