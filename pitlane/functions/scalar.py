@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,15 +29,18 @@ def log_positive(x: Column | str) -> Column:
 
 
 def round_half_up(x: Column | str, digits: int = 6) -> Column:
-    """``floor(x * 10**d + 0.5) / 10**d``; the same in every SQL engine, unlike ``round``."""
+    """``floor(x * 10**d + 0.5) / 10**d``; the same in every SQL engine, unlike ``round``.
+
+    Values so large that a double has no digits left to round are kept as they are.
+    """
     scale = float(10**digits)
-    return F.floor(_c(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    lifted = _c(x) * F.lit(scale)
+    return F.when(F.abs(lifted) < 2.0**53, F.floor(lifted + F.lit(0.5)).cast("double") / F.lit(scale)).otherwise(_c(x))
 
 
-def floor_weight(x: Column | str, digits: int = WEIGHT_DIGITS) -> Column:
-    """Weights are cut *down* so that their sum can never pass 1."""
-    scale = float(10**digits)
-    return F.floor(_c(x) * F.lit(scale)).cast("double") / F.lit(scale)
+def share_down(part: str, total: str, digits: int = WEIGHT_DIGITS) -> Column:
+    """``part / total`` of two decimal columns, cut down to ``digits`` by exact integer division."""
+    return F.expr(f"({part} * {10**digits}) div {total}").cast("double") / F.lit(float(10**digits))
 
 
 def slipped(price: Column | str, side: Column | str, bps: float) -> Column:
@@ -122,28 +125,41 @@ def _poly(x: Column, coefficients: Sequence[float]) -> Column:
     return out
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often the body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
 def normal_cdf(z: Column | str) -> Column:
     """Standard normal distribution function, about 1e-15 absolute error."""
-    z = _c(z)
-    a = F.abs(z)
-    dens = F.exp(-a * a / 2.0)
-    near = dens * _poly(a, _CDF_NUM) / _poly(a, _CDF_DEN)
-    frac = a + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        frac = a + F.lit(k) / frac
-    tail = F.when(a > 37, 0.0).when(a < _CDF_SWITCH, near).otherwise(dens / frac / F.lit(_SQRT_2PI))
-    return F.when(z.isNotNull(), F.when(z > 0, F.lit(1.0) - tail).otherwise(tail))
+
+    def body(z: Column) -> Column:
+        a = F.abs(z)
+        dens = F.exp(-a * a / 2.0)
+        near = dens * _poly(a, _CDF_NUM) / _poly(a, _CDF_DEN)
+        frac = a + 0.65
+        for k in (4.0, 3.0, 2.0, 1.0):
+            frac = a + F.lit(k) / frac
+        tail = F.when(a > 37, 0.0).when(a < _CDF_SWITCH, near).otherwise(dens / frac / F.lit(_SQRT_2PI))
+        return _let(tail, lambda t: F.when(z.isNotNull(), F.when(z > 0, F.lit(1.0) - t).otherwise(t)))
+
+    return _let(_c(z), body)
 
 
 def normal_ppf(p: Column | str) -> Column:
     """Standard normal quantile; missing outside (0, 1)."""
-    p = _c(p)
-    q = p - 0.5
-    mid = F.lit(0.180625) - q * q
-    centre = q * _poly(mid, _PPF_MID_NUM) / _poly(mid, _PPF_MID_DEN)
-    r = F.sqrt(-F.ln(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
-    near, far = r - 1.6, r - 5.0
-    size = F.when(r <= 5.0, _poly(near, _PPF_TAIL_NUM) / _poly(near, _PPF_TAIL_DEN)).otherwise(
-        _poly(far, _PPF_FAR_NUM) / _poly(far, _PPF_FAR_DEN)
-    )
-    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, centre).when(q < 0, -size).otherwise(size))
+
+    def size(r: Column) -> Column:
+        near, far = r - 1.6, r - 5.0
+        return F.when(r <= 5.0, _poly(near, _PPF_TAIL_NUM) / _poly(near, _PPF_TAIL_DEN)).otherwise(
+            _poly(far, _PPF_FAR_NUM) / _poly(far, _PPF_FAR_DEN)
+        )
+
+    def body(p: Column) -> Column:
+        q = p - 0.5
+        centre = _let(F.lit(0.180625) - q * q, lambda m: _poly(m, _PPF_MID_NUM) / _poly(m, _PPF_MID_DEN)) * q
+        tail = _let(F.sqrt(-F.ln(F.when(q <= 0, p).otherwise(F.lit(1.0) - p))), size)
+        inside = F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
+        return F.when((p > 0) & (p < 1), inside)
+
+    return _let(_c(p), body)

@@ -86,9 +86,17 @@ def covariance_long(rows: DataFrame) -> DataFrame:
 
 
 def project_capped_simplex(v: np.ndarray, upper: float) -> np.ndarray:
-    """Nearest point with entries in ``[0, upper]`` that sum to 1 (bisection on the shift)."""
+    """Nearest point with entries in ``[0, upper]`` that sum to 1.
+
+    The shift is found exactly where no entry reaches the cap, else by bisection.
+    """
+    high = np.sort(v)[::-1]
+    sums = (np.cumsum(high) - 1.0) / np.arange(1, len(v) + 1)
+    point = np.maximum(v - sums[np.nonzero(high > sums)[0][-1]], 0.0)
+    if point.max() <= upper:
+        return point
     lo, hi = v.min() - 1.0, v.max()
-    for _ in range(100):
+    for _ in range(60):
         mid = 0.5 * (lo + hi)
         if np.clip(v - mid, 0.0, upper).sum() > 1.0:
             lo = mid

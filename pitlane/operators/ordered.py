@@ -27,7 +27,7 @@ def _key(on: Sequence[str]) -> list[Column]:
 
 
 def previous(
-    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], cols: Mapping[str, str], *, span_days: int
+    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], cols: Mapping[str, str], *, span_days: int | None = None
 ) -> DataFrame:
     """``lag`` by one row along ``ts`` per key; ``cols`` maps new name to source column."""
     names = df.columns
@@ -57,7 +57,7 @@ def running(
     ts: str | Sequence[str],
     sums: Mapping[str, Column],
     *,
-    span_days: int,
+    span_days: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums along ``ts`` per key. ``sums`` maps new name to a summand."""
     order = [ts] if isinstance(ts, str) else list(ts)
@@ -84,7 +84,7 @@ def running(
 
 
 def row_index(
-    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], name: str = "idx", *, span_days: int
+    df: DataFrame, on: Sequence[str], ts: str | Sequence[str], name: str = "idx", *, span_days: int | None = None
 ) -> DataFrame:
     """Position of each row along ``ts`` within its key, counted from 0."""
     return running(df, on, ts, {name: F.lit(1).cast("bigint")}, span_days=span_days).withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlane.functions.scalar import floor_weight
+from pitlane.functions.scalar import WEIGHT_DIGITS, share_down
 from pitlane.operators.asof import asof_join
 from pitlane.operators.ordered import row_index, shifted
 from pitlane.operators.ranks import top_k
@@ -106,14 +106,17 @@ def score_equal(selected: DataFrame) -> DataFrame:
 def score_proportional(selected: DataFrame) -> DataFrame:
     """Positive scores over their sum, cut down to six digits, zero weights dropped.
 
-    When no score is positive, equal weight over all selected names.
+    When no score is positive, equal weight over all selected names. Scores are
+    taken as decimals, so a share that is exact, such as one fifth, stays exact.
     """
-    sums = selected.groupBy("run_id", "date").agg(
-        F.sum(F.when(F.col("score") > 0, F.col("score"))).alias("_t"), F.count(F.lit(1)).alias("_n")
+    exact = selected.withColumn("_s", F.col("score").cast("decimal(20,12)"))
+    sums = exact.groupBy("run_id", "date").agg(
+        F.sum(F.when(F.col("_s") > 0, F.col("_s"))).alias("_t"), F.count(F.lit(1)).alias("_n")
     )
-    joined = selected.join(sums, ["run_id", "date"])
-    by_score = F.when(F.col("score") > 0, floor_weight(F.col("score") / F.col("_t")))
-    weight = F.when(F.col("_t").isNull(), floor_weight(F.lit(1.0) / F.col("_n"))).otherwise(by_score)
+    joined = exact.join(sums, ["run_id", "date"])
+    by_score = F.when(F.col("_s") > 0, share_down("_s", "_t"))
+    flat = F.floor(F.lit(10.0**WEIGHT_DIGITS) / F.col("_n")).cast("double") / F.lit(10.0**WEIGHT_DIGITS)
+    weight = F.when(F.col("_t").isNull(), flat).otherwise(by_score)
     return joined.select("run_id", "date", "ticker", weight.alias("weight")).where(F.col("weight") > 0)
 
 

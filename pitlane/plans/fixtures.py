@@ -48,7 +48,7 @@ MONTH = {
     "date": "MAX(date)",
     "close": f"{_d('SUM(c)')} / 100 / {_d('SUM(q)')}",
     "marketcap": f"{_d('SUM(c)')} / 100",
-    "score": f"0.05 - {_d('SUM(dp)')} / {_d('COUNT(*)')} / 100",
+    "score": f"CAST(FLOOR((5 - {_d('SUM(dp)')} / {_d('COUNT(*)')}) * 10000 + 0.5) AS DOUBLE) / 1000000",
     "n_rows": "COUNT(*)",
 }
 

@@ -125,11 +125,16 @@ def rolling_ic(t: Tables) -> DataFrame:
     "spread_growth", "E12 K12",
     with_ctes(
         "months",
-        body=f"SELECT date, {r6('EXP(SUM(LN(1 + decile_spread)) OVER (ORDER BY date))')} AS growth FROM months WHERE decile_spread IS NOT NULL",
+        body=f"""SELECT date, g < 0 AS negative, {r6('LN(ABS(g))')} AS log_growth FROM (
+ SELECT date, PRODUCT(1 + decile_spread) OVER (ORDER BY date) AS g FROM months WHERE decile_spread IS NOT NULL) z""",
     ),
 )
 def spread_growth_query(t: Tables) -> DataFrame:
-    return rounded(spread_growth(months(t)), "growth")
+    # Shown as sign and logarithm: over the years the growth itself spans twenty digits here.
+    out = spread_growth(months(t)).select(
+        "date", (F.col("growth") < 0).alias("negative"), F.ln(F.abs("growth")).alias("log_growth")
+    )
+    return rounded(out, "log_growth")
 
 
 @query(

@@ -46,16 +46,18 @@ def slugs_of_kind(ledger: DataFrame, kind: str, *, prefix: str = "") -> DataFram
 
 
 def series_json(equity: DataFrame) -> DataFrame:
-    """One JSON text per run: times, equity and benchmark in cents, missing levels kept.
+    """One JSON text per run: times, equity and benchmark in cents (half to even), missing levels kept.
 
     One row per calendar date goes into each text.
     """
     if "level" not in equity.columns:
         equity = equity.withColumn("level", F.lit(None).cast("double"))
-    # Written with two decimals, as money.
+
+    def cents(c: str) -> F.Column:
+        return F.bround(c, 2).cast("decimal(38,2)").cast("string")
+
     point = F.struct(
-        F.col("ts").cast("timestamp").alias("t"), F.col("equity").cast("decimal(38,2)").cast("string").alias("e"),
-        F.col("level").cast("decimal(38,2)").cast("string").alias("b"),
+        F.col("ts").cast("timestamp").alias("t"), cents("equity").alias("e"), cents("level").alias("b"),
     )
     rows = equity.groupBy("run_id").agg(F.array_sort(F.collect_list(point)).alias("p"), F.count("level").alias("_k"))
     stamps = F.transform("p", lambda s: F.date_format(s["t"], "yyyy-MM-dd'T'HH:mm:ssXXX"))
