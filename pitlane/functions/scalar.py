@@ -102,7 +102,7 @@ _PPF_MID_DEN = (
 )
 _PPF_TAIL_NUM = (
     7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
-    3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711107496835773,
+    3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734,
 )
 _PPF_TAIL_DEN = (
     1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,

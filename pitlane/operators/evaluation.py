@@ -64,7 +64,7 @@ def per_window(wide: DataFrame, metric: str) -> DataFrame:
     """One metric by window in order of time, as text with four digits or ``n/a``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    shown = F.coalesce(F.format_string("%.4f", F.col(metric)), F.lit("n/a"))
+    shown = F.when(F.col(metric).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(metric)))
     return wide.select("strategy", "start", window_label("start", "end").alias("label"), shown.alias("value")).orderBy(
         "strategy", "start"
     )
