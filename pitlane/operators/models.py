@@ -15,6 +15,7 @@ from pitlane.operators.panel import (
     DEFLATOR, FEATURES, TARGETS, demean, feature_vectors, rank_normalise, scale_by_assets,
 )
 from pitlane.operators.ranks import ordinal_rank
+from pitlane.session import cut
 
 MODELS = ("ridge", "gbt")
 
@@ -152,9 +153,12 @@ def design_vectors(panel: DataFrame, features: Sequence[str] = FEATURES) -> Data
 
 
 def expanding_ridge(panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Ridge scores for every date from the burn-in on. Fewer dates than that give no rows."""
+    """Ridge scores for every date from the burn-in on. Fewer dates than that give no rows.
+
+    The feature vectors are stored once: the sums, the section order and the predictions read them.
+    """
     train = placebo_labels(panel, config.seed) if config.shuffle_labels else panel
-    vectors = design_vectors(train, features)
+    vectors = cut(design_vectors(train, features))
     coefficients = ridge_coefficients(vectors, len(features), burn_in=config.burn_in, alpha=config.alpha)
     scored = ridge_predictions(vectors, coefficients)
     if config.shuffle_labels:

@@ -164,6 +164,8 @@ def cross_sections(
     stored = cut(count_known(features_at(capped, filings, dimension=dimension)))
     rows = enough_features(stored, min_features)
     labelled = with_target(rows, target, prices=prices, dates=dates)
+    if target == "ret":
+        labelled = cut(labelled)
     counted = attach(labelled, ["date"], n_names=F.count(F.lit(1)), _mean=F.avg("target"))
     panel = (
         counted.where(F.col("n_names") >= min_names)

@@ -53,21 +53,30 @@ def _equal(picks: DataFrame) -> DataFrame:
     )
 
 
-def momentum_table(bars: DataFrame, *, lookback: int = 126, skip: int = 0) -> DataFrame:
+def momentum_table(
+    bars: DataFrame, *, lookback: int = 126, skip: int = 0, span_days: int | None = None
+) -> DataFrame:
     """Return over ``lookback`` bars of the symbol itself, ending ``skip`` bars ago, at each bar.
 
-    Bars are numbered once and the past ones fetched by equi-joins on the number.
+    Daily bars: a symbol's history is bounded by the calendar, so both reads are
+    lags in one window. For finer bars pass ``span_days``: bars are numbered in
+    spans and the past ones fetched by equi-joins on the number.
     """
     if lookback < 1:
         raise ValueError(f"lookback must be >= 1, got {lookback}")
     if skip < 0:
         raise ValueError(f"skip must be >= 0, got {skip}")
-    numbered = row_index(bars.select("ticker", "date", "close"), ["ticker"], "date")
-    if skip:
-        numbered = shifted(numbered, ["ticker"], "idx", skip, {"recent": "close"})
+    rows = bars.select("ticker", "date", "close")
+    if span_days is None:
+        w = Window.partitionBy("ticker").orderBy("date")
+        past = rows.select(
+            "ticker", "date", F.lag("close", skip).over(w).alias("recent"),
+            F.lag("close", skip + lookback).over(w).alias("past"), F.lag("date", skip + lookback).over(w).alias("past_date"),
+        )
     else:
-        numbered = numbered.withColumn("recent", F.col("close"))
-    past = shifted(numbered, ["ticker"], "idx", skip + lookback, {"past": "close", "past_date": "date"})
+        numbered = row_index(rows, ["ticker"], "date", span_days=span_days)
+        recent = shifted(numbered, ["ticker"], "idx", skip, {"recent": "close"})
+        past = shifted(recent, ["ticker"], "idx", skip + lookback, {"past": "close", "past_date": "date"})
     mom = F.when(F.col("past") > 0, (F.col("recent") - F.col("past")) / F.col("past"))
     return past.select("ticker", "date", "past_date", mom.alias("momentum"))
 

@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitlane.session import cut
+
 # One line of the order table as integers.
 LINE = {
     "ticker": "CONCAT('S', CAST(l_suppkey AS STRING))",
@@ -311,6 +313,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """A derived table stored once, as a price table would be; for plans that read it several times."""
+        if name not in self._stored:
+            self._stored[name] = cut(getattr(self, name))
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

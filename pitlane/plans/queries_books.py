@@ -46,7 +46,7 @@ STEPS_SQL = f"SELECT * FROM (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY run_id
 
 
 def steps(t: Tables) -> DataFrame:
-    return every_nth(run_timeline(runs(t), t.calendar), EVERY)
+    return every_nth(run_timeline(runs(t), t.stored("calendar")), EVERY)
 
 
 def symbols(t: Tables) -> DataFrame:
@@ -137,7 +137,7 @@ def weights_momentum(t: Tables) -> DataFrame:
 def picks(t: Tables, k: int = K) -> DataFrame:
     """Top scored members at each rebalance of each run."""
     days = steps(t).select("date").distinct()
-    best = top_scored(scores_at(days, t.scores, t.members), k)
+    best = top_scored(scores_at(days, t.scores, t.stored("members")), k)
     return steps(t).select("run_id", "date").join(best, "date").join(runs(t).select("run_id", "start"), "run_id")
 
 
@@ -316,7 +316,7 @@ def _hold_run(t: Tables) -> tuple[DataFrame, DataFrame]:
     )
     names = t.members.where("start_date <= DATE '1996-01-01' AND (end_date IS NULL OR end_date >= DATE '1996-01-01')")
     basket = names.select("ticker").distinct().join(
-        t.bars.groupBy("ticker").agg(F.min(F.when(F.col("date") >= "1996-01-01", F.col("date"))).alias("_f"),
+        t.stored("bars").groupBy("ticker").agg(F.min(F.when(F.col("date") >= "1996-01-01", F.col("date"))).alias("_f"),
                                      F.max("date").alias("_l")).where("_f = DATE '1996-01-01'"), "ticker", "left_semi"
     )
     return spell, basket.select(F.lit("H").alias("run_id"), "ticker")
@@ -339,10 +339,10 @@ _HOLD = """basket AS (SELECT DISTINCT m.ticker FROM members m JOIN bars b ON b.t
 
 def _hold_book(t: Tables) -> tuple[DataFrame, DataFrame]:
     spell, basket = _hold_run(t)
-    timeline = run_timeline(spell, t.calendar)
-    targets = buy_and_hold(timeline, basket)
+    timeline = run_timeline(spell, t.stored("calendar"))
+    targets = cut(buy_and_hold(timeline, basket))
     # Half the cash is kept back, so that no buy can fail.
-    return spell, cut(simulate(fold_rows(spell, targets, t.bars), costs=Costs(cash_buffer=0.5)))
+    return spell, cut(simulate(fold_rows(spell, targets, t.stored("bars")), costs=Costs(cash_buffer=0.5)))
 
 
 @query(
@@ -355,7 +355,7 @@ def _hold_book(t: Tables) -> tuple[DataFrame, DataFrame]:
 )
 def buy_and_hold_equity(t: Tables) -> DataFrame:
     spell, ledger = _hold_book(t)
-    out = equity_curve(ledger, spell, t.calendar, t.bars)
+    out = equity_curve(ledger, spell, t.stored("calendar"), t.stored("bars"))
     return out.withColumn("equity", round_half_up("equity", 2))
 
 
@@ -374,7 +374,7 @@ def buy_and_hold_fills(t: Tables) -> DataFrame:
 def score_book(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Top-K score books of all windows, with costs."""
     r = runs(t)
-    return r, cut(simulate(fold_rows(r, cut(score_equal(picks(t))), t.bars), costs=COSTS))
+    return r, cut(simulate(fold_rows(r, cut(score_equal(picks(t))), t.stored("bars")), costs=COSTS))
 
 
 @query("book_ledger", "J11 J13 J14 B17 K2")
@@ -385,19 +385,19 @@ def book_ledger(t: Tables) -> DataFrame:
 @query("book_positions", "H14 M12 J12")
 def book_positions(t: Tables) -> DataFrame:
     r, ledger = score_book(t)
-    return marked_positions(positions(ledger), run_timeline(r, t.calendar), t.bars, r)
+    return marked_positions(positions(ledger), run_timeline(r, t.stored("calendar")), t.stored("bars"), r)
 
 
 @query("book_equity", "J12 C15 D42 K2")
 def book_equity(t: Tables) -> DataFrame:
     r, ledger = score_book(t)
-    return equity_curve(ledger, r, t.calendar, t.bars, benchmark=t.benchmark_levels)
+    return equity_curve(ledger, r, t.stored("calendar"), t.stored("bars"), benchmark=t.benchmark_levels)
 
 
 @query("book_evaluation", "K2 D22 D21 D19 K11")
 def book_evaluation(t: Tables) -> DataFrame:
     r, ledger = score_book(t)
-    curve = cut(equity_curve(ledger, r, t.calendar, t.bars, benchmark=t.benchmark_levels))
+    curve = cut(equity_curve(ledger, r, t.stored("calendar"), t.stored("bars"), benchmark=t.benchmark_levels))
     wide = run_metrics(curve, fill_log(ledger)).join(r, "run_id").withColumn("strategy", F.lit("score_top_k"))
     return metric_spread(wide)
 
@@ -411,8 +411,8 @@ def book_orders_rejected(t: Tables) -> DataFrame:
 @query("book_cost_aware", "J7 E9 E20 D40")
 def book_cost_aware(t: Tables) -> DataFrame:
     r = runs(t)
-    inputs = cut(cost_aware_inputs(picks(t), t.bars, lookback=LOOKBACK))
-    ledger = simulate(fold_rows(r, inputs, t.bars), costs=COSTS, choice=CostAware(max_weight=0.5))
+    inputs = cut(cost_aware_inputs(picks(t), t.stored("bars"), lookback=LOOKBACK))
+    ledger = simulate(fold_rows(r, inputs, t.stored("bars")), costs=COSTS, choice=CostAware(max_weight=0.5))
     return fill_log(ledger)
 
 
