@@ -80,7 +80,7 @@ def weights_buy_and_hold(t: Tables) -> DataFrame:
 
 
 @query(
-    "weights_equal", "J2",
+    "weights_equal", "J2 M13",
     with_ctes(
         "calendar", "members",
         body=f"""SELECT s.run_id, k.date, s.ticker, {r6('1.0::DOUBLE / COUNT(*) OVER (PARTITION BY s.run_id, k.date)')} AS weight

@@ -166,7 +166,7 @@ def median_volume(t: Tables) -> DataFrame:
 
 
 @query(
-    "signal_cells", "I7 A30",
+    "signal_cells", "I7 A30 G4",
     with_ctes(
         "months", "pairs",
         body=f"""WITH p2 AS (SELECT ticker, date, -score AS score, ret FROM pairs),
