@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,26 @@ def get_spark(app: str = "pitlane", master: str | None = None, shuffle_partition
             builder = builder.config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application; they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="spark-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(here.rglob("*.py")):
+            out.write(source, source.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(bundle))
+    _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
