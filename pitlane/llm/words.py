@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text per piece; a longer row is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _OTHER = np.ones(256, bool)
 _OTHER[[0x20, *range(0x09, 0x0E)]] = False
@@ -56,7 +56,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Piece:
     """Some rows of a batch. ``row`` is the row of each word, counted from ``first``; ``stop[i]`` is the number of
-    words up to the end of row ``i``."""
+    words up to the end of row ``i``; ``raw`` is the text as given and ``bounds`` the bytes of each row."""
 
     first: int
     rows: int
@@ -65,6 +65,8 @@ class Piece:
     ends: np.ndarray
     stop: np.ndarray
     hashes: np.ndarray
+    raw: np.ndarray
+    bounds: np.ndarray
 
     def text(self, word: int) -> str:
         return self.data[self.starts[word]:self.ends[word]].tobytes().decode()
@@ -89,6 +91,7 @@ def pieces(column: pa.Array, table: np.ndarray, lower: bool) -> Iterator[Piece]:
 
 
 def _piece(first: int, data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lower: bool) -> Piece:
+    raw = data
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -105,4 +108,5 @@ def _piece(first: int, data: np.ndarray, bounds: np.ndarray, table: np.ndarray,
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Piece(first, len(bounds) - 1, data, starts, ends, np.searchsorted(starts, bounds[1:]), hashes)
+    return Piece(first, len(bounds) - 1, data, starts, ends, np.searchsorted(starts, bounds[1:]), hashes, raw,
+                 bounds)
