@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import decontam, mixing, near_dup, quality, token_files
+from pitlane.llm import decontam, mixing, near_dup, quality, token_files, toxicity
 from pitlane.llm.tables import table
 
 
@@ -44,12 +44,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"),
+                          table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_mixing": op4_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
