@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import decontam, mixing, near_dup, quality, secrets, token_files, toxicity
+from pitlane.llm import class_lm, decontam, mixing, near_dup, quality, secrets, token_files, toxicity
 from pitlane.llm.tables import table
 
 
@@ -29,6 +29,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op3_class_lm": op3_class_lm,
     "op4_mixing": op4_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
