@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import class_lm, decontam, mixing, near_dup, quality, secrets, token_files, toxicity
+from pitlane.llm import class_lm, decontam, html_text, mixing, near_dup, quality, secrets, token_files, toxicity
 from pitlane.llm.tables import table
 
 
@@ -37,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"),
+                             table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
                           table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_class_lm": op3_class_lm,
     "op4_mixing": op4_mixing,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_files": op9_token_files,
