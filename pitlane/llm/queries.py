@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import class_lm, decontam, html_text, mixing, near_dup, quality, secrets, token_files, toxicity
+from pitlane.llm import class_lm, decontam, html_text, licenses, mixing, near_dup, quality, secrets, token_files, toxicity
 from pitlane.llm.tables import table
 
 
@@ -42,6 +42,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
                           table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_class_lm": op3_class_lm,
     "op4_mixing": op4_mixing,
     "op5_html_text": op5_html_text,
+    "op6_licenses": op6_licenses,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_files": op9_token_files,
