@@ -15,6 +15,7 @@ Layout, little-endian::
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -145,41 +146,81 @@ class WordEncoder:
     """A tokenizer applied word by word, remembering the ids of recent words.
 
     Right for tokenizers that never join characters across ASCII white space (their pre-tokenizer drops it). About
-    ``limit`` words are remembered; then the memory starts anew, which costs time and changes nothing else.
+    ``limit`` words are remembered; then the half used least is forgotten, which costs time and changes nothing else.
+    New words are encoded as one text, parted by a mark whose id is known; those that hold the mark go one by one.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    MARK = "\x01"
+
+    def __init__(self, path: str, limit: int = 250_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self._reset()
-
-    def _reset(self) -> None:
-        """Forget all words; entry 0 is the end of a document."""
-        self.known: dict[int, int] = {}
+        self.mark = self._ids([self.MARK])[0]
+        #: Hashes of known words, sorted, and the entry of each; entry 0 is the end of a document.
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.flat = np.array([END_ID], np.uint32)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.known.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        self.used, self.flat = np.zeros(1, np.int64), np.array([END_ID], np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and how many each has."""
+        if len(self.mark) != 1 or any(self.MARK in t for t in texts):
+            found = self._ids(texts)
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(texts), 2048):
+            ids = np.array(self._ids([f" {self.MARK} ".join([*texts[a:a + 2048], ""])])[0], np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            sizes.append(np.diff(np.concatenate([[-1], marks])) - 1)
+            parts.append(np.delete(ids, marks))
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _forget(self) -> None:
+        best = np.sort(np.argsort(-self.used[self.entry], kind="stable")[:self.limit // 2])
+        keep = self.entry[best]
+        size = self.size[keep]
+        stop = np.cumsum(size)
+        flat = self.flat[np.repeat(self.begin[keep] - stop + size, size) + np.arange(int(size.sum()))]
+        self.keys, self.entry = self.keys[best], np.arange(1, len(best) + 1)
+        self.begin = np.concatenate([[0], 1 + stop - size])
+        self.size = np.concatenate([[1], size])
+        self.used = np.concatenate([[0], self.used[keep] // 2])
+        self.flat = np.concatenate([np.array([END_ID], np.uint32), flat])
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        flat, size = self._encoded(texts)
+        if len(size) != len(keys):
+            raise ValueError("the tokenizer joins words across white space")
+        new = np.arange(len(self.begin), len(self.begin) + len(keys))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(keys), np.int64)])
+        self.flat = np.concatenate([self.flat, flat])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.entry = np.insert(self.keys, at, keys), np.insert(self.entry, at, new)
 
     def encode(self, piece: words.Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row ended by ``END_ID``, and where each row ends."""
         keys, first, back = np.unique(piece.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
-            self._reset()
-        names = keys.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.known]
-        if new:
-            self._learn([names[i] for i in new], [piece.text(int(first[i])) for i in new])
-        entry = np.fromiter((self.known[k] for k in names), np.int64, len(names))[back]
-        entry = np.insert(entry, piece.stop, 0)
+        if len(self.keys) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            data = piece.data.tobytes()
+            where = first[new]
+            self._learn(keys[new], [data[a:b].decode() for a, b in zip(
+                piece.starts[where].tolist(), piece.ends[where].tolist(), strict=True)])
+        entry = self.entry[np.searchsorted(self.keys, keys)]
+        self.used[entry] += 1
+        entry = np.insert(entry[back], piece.stop, 0)
         size = self.size[entry]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
