@@ -2,8 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, each by how much more often it stands
 inside the main text of labelled pages than outside; one linear scan finds the contiguous stretch of the highest sum.
+A stretch inside an article or main element is taken to the bounds of that element, so that no short end is lost.
 What never is main text (scripts, menus, forms, adverts, reader comments and the like) is left out by its element.
-Labelled pages are those whose longest block is also a line of a document; the document's lines are their main text.
+Labelled pages are those of whose longest blocks one is also a line of a document; its lines are their main text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Pages the weights are learnt from at most, drawn by the hash of their ids.
 SAMPLE = 2000
+#: Blocks of a page that are looked up among the documents' lines, and the characters they have at least.
+LONGEST, LEAST_CHARS = 3, 40
 # Fixed values of the markup language: elements that begin a block, that have no end tag, and whose content is not text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -33,8 +36,9 @@ LEFT_OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie "
     "cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted "
     "related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-#: Used where there are no labelled pages, and for tags that none of them has.
-WORD_WEIGHT, TAG_WEIGHT = 1.0, -3.0
+#: Used where there are no labelled pages, and for tags that none of them has: words, tags of running text, others.
+WORD_WEIGHT, INLINE_WEIGHT, TAG_WEIGHT = 1.0, -0.1, -3.0
+INLINE = frozenset("p br b i em strong u s q a abbr cite code span small sub sup mark h1 h2 h3 h4 h5 h6 blockquote pre img wbr".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -108,19 +112,42 @@ def blocks(found: list[Event]) -> list[str]:
 
 def main_text(found: list[Event], weights: dict[str, float]) -> str:
     """The text of the stretch with the highest sum; the first of equal ones, '' if no sum is positive."""
-    word, tag = weights.get("", WORD_WEIGHT), weights.get("?", TAG_WEIGHT)
+    word = weights.get("", WORD_WEIGHT)
     best = total = 0.0
     start = first = last = 0
     for i, (name, text, _) in enumerate(found):
-        score = weights.get(name, tag) if name else word * len(text.split())
+        if not name:
+            score = word * len(text.split())
+        elif (score := weights.get(name)) is None:
+            score = INLINE_WEIGHT if name.lstrip("/") in INLINE else TAG_WEIGHT
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best:
             best, first, last = total, start, i + 1
+    if last:
+        first, last = _element(found, first, last)
     return "\n".join(blocks(found[first:last]))
 
 
+def _element(found: list[Event], first: int, last: int) -> tuple[int, int]:
+    """The smallest article or main element around a stretch, or the stretch itself; a missing end tag is the page's end."""
+    open_at: list[tuple[str, int]] = []
+    around = [(first, last)]
+    for i, (name, _, _) in enumerate(found):
+        if name in ("article", "main"):
+            open_at.append((name, i))
+        elif name in ("/article", "/main") and any(n == name[1:] for n, _ in open_at):
+            while True:
+                n, o = open_at.pop()
+                if o <= first and i >= last - 1:
+                    around.append((o, i + 1))
+                if n == name[1:]:
+                    break
+    around += [(o, len(found)) for _, o in open_at if o <= first]
+    return min(around[1:], key=lambda x: x[1] - x[0], default=around[0])
+
+
 # ---------------------------------------------------------------- weights
 
 
@@ -140,12 +167,12 @@ def _count(found: list[Event], lines: set[str], whole: str) -> Counter[tuple[str
 
 
 def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of standing inside; words at least 0.1, tags at most -0.1. '?' is for tags not seen."""
+    """Log odds of standing inside; words at least 0.1, tags at most -0.1."""
     inside = sum(n for (_, i), n in counts.items() if i)
     outside = sum(n for (_, i), n in counts.items() if not i)
     if not inside:
         return {}
-    out = {"?": TAG_WEIGHT}
+    out = {}
     for name in {k for k, _ in counts}:
         odds = math.log((counts.get((name, True), 0) + 0.5) / (inside + 1)) - math.log(
             (counts.get((name, False), 0) + 0.5) / (outside + 1))
@@ -158,23 +185,28 @@ def _line(text):
 
 
 def learn(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most ``sample`` pages whose longest block is a line of a document; {} if there are none."""
+    """Weights from at most ``sample`` pages one of whose longest blocks is a line of a document; {} if there are
+    none. Of several documents the one with most of these lines counts, then the first."""
     drawn = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(
         F.xxhash64("page_id"), "page_id").limit(sample)
 
     def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [max(blocks(events(p)), key=len, default="") for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["page_id", "html", "line"])
+            texts = [sorted({t for t in blocks(events(p)) if len(t) >= LEAST_CHARS}, key=lambda t: (-len(t), t))[:LONGEST]
+                     for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "lines"])
 
-    marked = drawn.mapInArrow(longest, "page_id long, html string, line string").where("length(line) >= 40").withColumn(
-        "h", F.xxhash64("line"))
-    wanted = F.broadcast(marked.select("h").distinct())  # at most `sample` numbers
+    marked = drawn.mapInArrow(longest, "page_id long, lines array<string>").select(
+        "page_id", F.explode("lines").alias("line")).select("page_id", F.xxhash64("line").alias("h"))
+    wanted = F.broadcast(marked.select("h").distinct())  # at most LONGEST numbers a page
     lines = docs.where("doc_id IS NOT NULL").select(
         "doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.xxhash64(_line(F.col("l"))).alias("h"))
     owner = lines.join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    pairs = marked.join(owner, "h").select("page_id", "html", "doc_id")
-    owners = F.broadcast(owner.select("doc_id").distinct())  # at most `sample` numbers
+    votes = marked.join(owner, "h").groupBy("page_id", "doc_id").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("page_id").agg((-F.max(F.struct("n", (-F.col("doc_id")).alias("d")))["d"]).alias("doc_id"))
+    pairs = drawn.join(chosen, "page_id")
+    owners = F.broadcast(chosen.select("doc_id").distinct())  # at most one a page
     bodies = docs.select("doc_id", "text").join(owners, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

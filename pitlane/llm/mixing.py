@@ -2,8 +2,8 @@
 
 A classifier trained on the labelled table gives every document a posterior over domains. The rates r >= 0 at which
 documents are taken minimise the distance between the expected token totals of the domains, sum of r n p, and their
-targets, in the metric of the Gram matrix of n p; projected gradient steps from r = 1 stay as near to the natural mix
-as the targets allow. A step moves a document by its posterior times one vector of as many numbers as domains, so the
+targets, in the metric of the Gram matrix of n p; projected gradient steps from r = 1, scaled by the Gram matrix of the
+documents whose rate is not yet 0, stay as near to the natural mix as the targets allow. A step moves a document by its posterior times one vector of as many numbers as domains, so the
 state of the solver is the list of these vectors: a round sums a stored table of posteriors once, and the rate of any
 document follows from its posterior alone.
 """
@@ -182,6 +182,7 @@ def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     aim = sums["n"] * np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
     mix = Mix(model, [], None, aim)
     before = np.inf
+    pairs = [f"{a}_{b}" for a in DOMAINS for b in DOMAINS]
     for _ in range(ROUNDS):
         steps = list(mix.steps)
 
@@ -189,17 +190,22 @@ def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
             for batch in batches:
                 n, *p = (c.to_numpy() for c in batch.columns)
                 p = np.column_stack(p)
-                got = (n * rates(p, steps)) @ p
-                yield pa.RecordBatch.from_pydict({d: [got[i]] for i, d in enumerate(DOMAINS)})
+                r = rates(p, steps)
+                got, free = (n * r) @ p, (p * (n * (r > 0))[:, None]).T @ p
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip([*DOMAINS, *pairs], [*got, *free.ravel()], strict=True)})
 
-        parts = scored.mapInArrow(add, ", ".join(f"{d} double" for d in DOMAINS))
-        mix.reached = np.array([float(x or 0) for x in parts.agg(*[F.sum(d) for d in DOMAINS]).first()])
-        gap = mix.reached - aim
+        parts = scored.mapInArrow(add, ", ".join(f"{c} double" for c in [*DOMAINS, *pairs]))
+        now = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in [*DOMAINS, *pairs]]).first()])
+        gap = now[:k] - aim
         cost = float(gap @ inverse @ gap)
+        if cost >= before:
+            mix.steps.pop()
+            break
+        mix.reached = now[:k]
         if np.abs(gap).max() <= 1e-6 * sums["n"] or cost > before * (1 - 1e-6):
             break
         before = cost
-        mix.steps.append(inverse @ gap)
+        mix.steps.append(np.linalg.pinv(now[k:].reshape(k, k), rcond=1e-9, hermitian=True) @ gap)
     return mix
 
 
