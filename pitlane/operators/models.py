@@ -179,29 +179,31 @@ def tree_inputs(panel: DataFrame, config: ModelConfig, features: Sequence[str] =
 
 
 def expanding_trees(
-    panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES, *, refit_every: int = 12,
+    panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES, *, refit_every: int = 1,
     n_trees: int = 10, depth: int = 3,
 ) -> DataFrame:
-    """Gradient-boosted tree scores; refitted every ``refit_every`` months on all earlier ones.
+    """Gradient-boosted tree scores; refitted at every month, or every ``refit_every``, on all earlier ones.
 
     The months to score are listed by position (one small read of the distinct
     dates); each refit is a distributed fit and each scoring a transform, so the
-    panel is never gathered. The sector code is a nominal feature.
+    panel is never gathered. The sector code is a nominal feature, whatever the number of sectors.
     """
     from functools import reduce
 
     from pyspark.ml.feature import VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
 
-    base = placebo_labels(panel, config.seed) if config.shuffle_labels else panel
+    base, bins = placebo_labels(panel, config.seed) if config.shuffle_labels else panel, 64
     rows, names = tree_inputs(base, config, features)
     plain = VectorAssembler(inputCols=[n for n in names if n != "industry_code"], outputCol="plain")
     dated = plain.transform(rows.join(section_index(panel), "date"))
     if config.industry:
         sector = VectorAssembler(inputCols=["industry_code"], outputCol="sector").transform(dated)
-        coded = VectorIndexer(inputCol="sector", outputCol="sector_ix", maxCategories=64, handleInvalid="keep").fit(
-            sector
-        ).transform(sector)
+        n_codes = dated.agg(F.count_distinct("industry_code")).first()[0]
+        bins = max(bins, n_codes + 1)
+        coded = VectorIndexer(
+            inputCol="sector", outputCol="sector_ix", maxCategories=max(2, n_codes), handleInvalid="keep"
+        ).fit(sector).transform(sector)
         dated = VectorAssembler(inputCols=["plain", "sector_ix"], outputCol="vector").transform(coded)
     else:
         dated = dated.withColumnRenamed("plain", "vector")
@@ -210,7 +212,7 @@ def expanding_trees(
     for first in range(config.burn_in, (n_sections if n_sections is not None else -1) + 1, refit_every):
         trees = GBTRegressor(
             featuresCol="vector", labelCol="target", predictionCol="predicted", maxIter=n_trees, maxDepth=depth,
-            maxBins=64, seed=config.seed,
+            maxBins=bins, seed=config.seed,
         )
         fitted = trees.fit(labelled(dated.where(F.col("section") < first)))
         block = dated.where((F.col("section") >= first) & (F.col("section") < first + refit_every))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pitlane.functions.scalar import guarded_div, log_positive
 from pitlane.operators.asof import STALE_DAYS, YEAR_LAG_DAYS, asof_join, forward_return, series
 from pitlane.operators.ordered import attach
-from pitlane.operators.ranks import needs_split, ordinal_rank
+from pitlane.operators.dedupe import last_wins
+from pitlane.operators.ranks import ordinal_rank
 from pitlane.operators.universe import members_on
 from pitlane.session import cut
 
@@ -58,9 +59,12 @@ def market_caps_at(keys: DataFrame, caps: DataFrame, *, stale_days: int = STALE_
 def features_at(keys: DataFrame, filings: DataFrame, *, dimension: str = "ART") -> DataFrame:
     """The feature catalogue for each ``(ticker, date)``: levels, ratios, and year-on-year changes.
 
-    Reads the latest filing as of the date and as of 365 days earlier.
+    Reads the latest filing as of the date and as of 365 days earlier. Filings without any known field do not count;
+    of several with one key the last wins (by ``lastupdated`` where there is such a column, then by their values).
     """
-    filed = filings.where(F.col("dimension") == dimension).select("ticker", "datekey", *REQUIRED_FIELDS)
+    order = [c for c in ("lastupdated",) if c in filings.columns]
+    asked = filings.where(F.col("dimension") == dimension).select("ticker", "datekey", *order, *REQUIRED_FIELDS)
+    filed = last_wins(asked.where(F.coalesce(*REQUIRED_FIELDS).isNotNull()), ["ticker", "datekey"], order).drop(*order)
     now = asof_join(keys, filed, ["ticker"], "date", "datekey", REQUIRED_FIELDS)
     back = now.withColumn("_then", F.date_sub("date", YEAR_LAG_DAYS))
     past = filed.select("ticker", "datekey", *[F.col(c).alias(f"_{c}") for c in _LAGGED])
@@ -179,20 +183,18 @@ def cross_sections(
 
 def rank_normalise(
     panel: DataFrame, features: Sequence[str] = FEATURES, *, by: Sequence[str] = ("date",), name: str = "ticker",
-    cuts: int = 8, split: bool | None = None,
+    cuts: int = 8,
 ) -> DataFrame:
     """Long table ``(by, ticker, feature, z)``: ordinal ranks per date and feature, mapped to [-1, 1].
 
     Only known values are listed; a missing value counts as 0, as does a lone
     one. Ties go in ticker order. All features share one shuffle.
     """
-    if split is None:
-        split = needs_split(panel, by)
     pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).alias("v")) for i, f in enumerate(features)])
     long = panel.select(*by, name, F.explode(pairs).alias("_f")).select(*by, name, "_f.feature", "_f.v").where(
         F.col("v").isNotNull()
     )
-    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts, split=split)
+    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts)
     z = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
         (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1)) * 2.0 - 1.0
     )

@@ -1,15 +1,15 @@
 """Exact ranks inside a cross-section, also one that is too large for one task.
 
-The size of the largest group is checked first. Groups that fit a task are
-ranked by one plain window. Beyond that, each group is cut at a few of its own
-rows, drawn by hash: one row per hash class, at most ``cuts`` per group. The
-pieces are ordered against each other, so a rank is the rank inside the piece
-plus the size of the pieces before it. Cuts are taken on the full ordering key,
-ties included, so neither a hot date nor a hot value ends up in one task. Any
-cuts give the same, exact answer; they only balance the work.
-
-Both the check and the cuts read the input again, so it should be cheap to
-read: a stored table or one cut with ``pitlane.session.cut``.
+Each group is cut at a few of its own rows, drawn by hash: one row per hash
+class, at most ``cuts`` per group. The pieces are ordered against each other,
+so a rank is the rank inside the piece plus the size of the pieces before it.
+Cuts are taken on the full ordering key, ties included, so neither a hot date
+nor a hot value ends up in one task. Any cuts give the same, exact answer; they
+only balance the work. The plan is the same for every size, and nothing runs
+while it is built.
+
+The cuts read the input again, so it should be cheap to read: a stored table
+or one cut with ``pitlane.session.cut``.
 """
 
 from __future__ import annotations
@@ -20,13 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = 32
-GROUP_ROWS = 4_000_000
-
-
-def needs_split(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """Whether some group is larger than one task should sort. One aggregated count."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"))
-    return (counts.first()[0] or 0) > (GROUP_ROWS if limit is None else limit)
 
 
 def split_prefix(
@@ -38,21 +31,12 @@ def split_prefix(
     before: str = "before",
     total: str | None = "n",
     cuts: int = CUTS,
-    split: bool | None = None,
 ) -> DataFrame:
     """Adds the sum of ``measure`` over the rows strictly before this one, and the group total.
 
     ``order`` must be non-null and give a total order inside each group.
-    ``split`` says whether to cut the groups; by default that is checked.
     """
     by = list(by)
-    if split is None:
-        split = needs_split(df, by)
-    if not split:
-        group = Window.partitionBy(*by)
-        above = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        sums = [F.coalesce(F.sum(measure).over(above), F.lit(0).cast("bigint")).alias(before)]
-        return df.select(*df.columns, *sums, *([F.sum(measure).over(group).alias(total)] if total else []))
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     rows = df.withColumn("_key", key).withColumn("_m", measure)
     draw = F.xxhash64("_key")
@@ -84,31 +68,25 @@ def split_prefix(
 
 def ordinal_rank(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], *, name: str = "rn", total: str | None = "n",
-    cuts: int = CUTS, split: bool | None = None,
+    cuts: int = CUTS,
 ) -> DataFrame:
     """``row_number`` from 1 in ``order`` inside each group, plus the group size."""
-    ranked = split_prefix(df, by, order, F.lit(1).cast("bigint"), before=name, total=total, cuts=cuts, split=split)
+    ranked = split_prefix(df, by, order, F.lit(1).cast("bigint"), before=name, total=total, cuts=cuts)
     return ranked.withColumn(name, F.col(name) + 1)
 
 
 def rank_table(
-    df: DataFrame, by: Sequence[str], value: str, *, name: str = "rank", cuts: int = CUTS, split: bool | None = None
+    df: DataFrame, by: Sequence[str], value: str, *, name: str = "rank", cuts: int = CUTS
 ) -> DataFrame:
     """``(by, value, rank)``: fractional ranks of the distinct values, ties sharing their mean position.
 
     Values are counted before they are ranked, so one shared by most names is one row.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = split_prefix(counts, by, [F.col(value)], F.col("_c"), before="_b", total=None, cuts=cuts, split=split)
+    ranked = split_prefix(counts, by, [F.col(value)], F.col("_c"), before="_b", total=None, cuts=cuts)
     return ranked.select(*by, value, (F.col("_b") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
 
 
-def average_rank(
-    df: DataFrame, by: Sequence[str], value: str, *, name: str = "rank", cuts: int = CUTS, split: bool | None = None
-) -> DataFrame:
-    return df.join(rank_table(df, by, value, name=name, cuts=cuts, split=split), [*by, value])
-
-
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, *, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group. Spark limits each map partition to ``k``
     rows per group before the shuffle, so a hot group stays small."""
@@ -120,7 +98,6 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, *,
 
 def exact_median(
     df: DataFrame, by: Sequence[str], value: str, *, upper: bool = False, name: str = "median", cuts: int = 256,
-    split: bool | None = None,
 ) -> DataFrame:
     """Exact median per group without gathering the group: middle pair mean, or its upper element.
 
@@ -129,7 +106,7 @@ def exact_median(
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = split_prefix(counts, keys, [F.col(value)], F.col("_c"), before="_b", total="_n", cuts=cuts, split=split)
+    ranked = split_prefix(counts, keys, [F.col(value)], F.col("_c"), before="_b", total="_n", cuts=cuts)
     hi = F.floor(F.col("_n") / 2)
     lo = hi if upper else F.floor((F.col("_n") - 1) / 2)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitlane.functions.stats import pearson
 from pitlane.operators.asof import forward_return
-from pitlane.operators.ranks import exact_median, needs_split, ordinal_rank, rank_table
+from pitlane.operators.ranks import exact_median, ordinal_rank, rank_table
 from pitlane.operators.universe import keep_members
 from pitlane.session import cut
 
@@ -34,23 +34,24 @@ def score_returns(
 
 
 def rank_ic(
-    pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret", split: bool | None = None
+    pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret"
 ) -> DataFrame:
-    """Spearman correlation per group with average ranks; null below three names or on a constant side."""
-    if split is None:
-        split = needs_split(pairs, by)
+    """Spearman correlation per group with average ranks; null below three names or on a constant side.
+
+    Ranks are joined back by value; where most names share one, the join is split by Spark's skew handling.
+    """
     ranked = pairs.select(*by, score, ret)
     for col, name in ((score, "_rs"), (ret, "_rr")):
-        ranked = ranked.join(rank_table(pairs, by, col, name=name, split=split), [*by, col])
+        ranked = ranked.join(rank_table(pairs, by, col, name=name), [*by, col])
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"), pearson("_rs", "_rr", 3).alias("rank_ic"))
 
 
 def decile_spread(
     pairs: DataFrame, *, by: Sequence[str] = ("date",), score: str = "score", ret: str = "ret", name: str = "ticker",
-    n_deciles: int = N_DECILES, split: bool | None = None,
+    n_deciles: int = N_DECILES,
 ) -> DataFrame:
     """Mean return of the top ``n div 10`` names minus that of the bottom ones; null below two names per decile."""
-    ranked = ordinal_rank(pairs, by, [F.col(score), F.col(name)], split=split)
+    ranked = ordinal_rank(pairs, by, [F.col(score), F.col(name)])
     size = F.floor(F.col("n") / n_deciles)
     top = F.avg(F.when(F.col("rn") > F.col("n") - size, F.col(ret)))
     bottom = F.avg(F.when(F.col("rn") <= size, F.col(ret)))
@@ -66,9 +67,8 @@ def signal_months(
 
     ``pairs`` is read several times (see :mod:`pitlane.operators.ranks`).
     """
-    split = needs_split(pairs, by)
-    ic = rank_ic(pairs, by=by, split=split).where(F.col("n_names") >= min_names)
-    return ic.join(decile_spread(pairs, by=by, n_deciles=n_deciles, split=split), list(by))
+    ic = rank_ic(pairs, by=by).where(F.col("n_names") >= min_names)
+    return ic.join(decile_spread(pairs, by=by, n_deciles=n_deciles), list(by))
 
 
 def newey_west(months: DataFrame, value: str, *, by: Sequence[str] = (), date: str = "date", lags: int = NW_LAGS) -> DataFrame:

@@ -653,6 +653,14 @@ def cv_test_blocks(t: Tables) -> DataFrame:
     return contiguous_blocks(_combinatorial(t).where("role = 'test'"))
 
 
-@query("cv_disjoint", "G7", with_ctes("calendar", body="SELECT CAST(0 AS INTEGER) AS split_id, CAST(0 AS INTEGER) AS idx, COUNT(*) AS roles FROM calendar WHERE FALSE GROUP BY 1, 2"))
+@query(
+    "cv_disjoint", "G7",
+    with_ctes(
+        "calendar",
+        body=f"""{_CPCV} SELECT CAST(split_id AS INTEGER) AS split_id, COUNT(DISTINCT CASE WHEN role = 'train' THEN idx END) AS n_train,
+ COUNT(DISTINCT CASE WHEN role = 'test' THEN idx END) AS n_test, COUNT(role) - COUNT(DISTINCT CASE WHEN role IS NOT NULL THEN idx END) AS n_both
+ FROM r GROUP BY split_id""",
+    ),
+)
 def cv_disjoint(t: Tables) -> DataFrame:
     return overlap(_combinatorial(t))

@@ -219,9 +219,10 @@ def universe_tickers_query(t: Tables) -> DataFrame:
     "ticker_selection", "A23",
     with_ctes(
         "sectors",
-        body="""SELECT ticker FROM (SELECT DISTINCT UPPER(TRIM(x)) AS ticker
- FROM (SELECT UNNEST(STRING_SPLIT(LOWER(CONCAT(' ', ticker, ' ,, ', sector, ',')), ',')) AS x FROM sectors) z) y
- WHERE ticker <> '' ORDER BY ticker LIMIT 40""",
+        body="""SELECT ticker FROM (SELECT s, i, UPPER(TRIM(LIST_EXTRACT(STRING_SPLIT(s, ','), i))) AS ticker
+ FROM (SELECT s, UNNEST(RANGE(1, LEN(STRING_SPLIT(s, ',')) + 1)) AS i
+ FROM (SELECT LOWER(CONCAT(' ', ticker, ' ,, ', sector, ',')) AS s FROM sectors) q) z) y
+ WHERE ticker <> '' ORDER BY s, i LIMIT 40""",
     ),
 )
 def ticker_selection(t: Tables) -> DataFrame:

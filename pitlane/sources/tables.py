@@ -48,10 +48,10 @@ def write_scores(scores: DataFrame, path: str, *, mode: str = "overwrite", parti
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
-def clean_benchmark(levels: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def clean_benchmark(levels: DataFrame, order: Sequence[str]) -> DataFrame:
     """Known levels, one per date; of repeated dates the last in ``order`` wins."""
     known = levels.where(F.col("level").isNotNull())
-    return last_wins(known, ["date"], list(order) or ["level"])
+    return last_wins(known, ["date"], list(order))
 
 
 def benchmark_faults(levels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pitlane.functions.scalar import guarded_div, mid_price, normal_cdf, normal_ppf, round_half_up, slipped
 from pitlane.operators.crossval import (
-    combinatorial_purged, contiguous_blocks, folds, n_combinatorial_splits, overlap, purged_kfold,
+    combinatorial_purged, contiguous_blocks, folds, overlap, purged_kfold,
 )
 from pitlane.operators.evaluation import metric_spread, per_window, rolling_windows
 from pitlane.operators.inference import (
@@ -178,8 +178,11 @@ def test_cross_validation(spark):
     assert {i for i, r in by.items() if r == "test"} == {4, 5, 6, 7}
     assert all(i not in by for i in (3, 8, 9, 10)) and by[11] == "train" and by[2] == "train"
     cp = combinatorial_purged(_idx(spark, 12), 12, label_span=1, embargo=1)
-    assert cp.select("split_id").distinct().count() == n_combinatorial_splits(6, 2) == 15
-    assert overlap(cp).count() == 0
+    assert cp.select("split_id").distinct().count() == 15
+    counts = overlap(cp).collect()
+    assert len(counts) == 15 and all(r["n_both"] == 0 and r["n_train"] > 0 and r["n_test"] > 0 for r in counts)
+    both = overlap(frame(spark, [(0, 1, "train"), (0, 1, "test"), (0, 2, "test")], "split_id int, idx int, role string"))
+    assert tuples(both) == [(0, 1, 2, 1)]
     tests = {}
     for r in cp.collect():
         tests.setdefault(r["split_id"], {"test": set(), "train": set()})[r["role"]].add(r["idx"])

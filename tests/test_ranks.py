@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.operators.ranks import average_rank, exact_median, needs_split, ordinal_rank, top_k
+from pitlane.operators.ranks import exact_median, ordinal_rank, rank_table, top_k
 from tests.helpers import frame, tuples
 
 
@@ -15,13 +15,12 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_ordinal_and_average_ranks(spark, split):
+def test_ordinal_and_average_ranks(spark):
     rows = _rows()
     df = frame(spark, rows, "date string, ticker string, x double")
     got = {(r["date"], r["ticker"]): (r["rn"], r["n"]) for r in
-           ordinal_rank(df, ["date"], [F.col("x"), F.col("ticker")], split=split).collect()}
-    avg = {(r["date"], r["ticker"]): r["rank"] for r in average_rank(df, ["date"], "x", split=split).collect()}
+           ordinal_rank(df, ["date"], [F.col("x"), F.col("ticker")]).collect()}
+    avg = {(r["date"], r["ticker"]): r["rank"] for r in df.join(rank_table(df, ["date"], "x"), ["date", "x"]).collect()}
     for date in ("hot", "cold"):
         mine = sorted((x, t) for d, t, x in rows if d == date)
         for i, (x, t) in enumerate(mine):
@@ -30,17 +29,18 @@ def test_ordinal_and_average_ranks(spark, split):
             assert avg[(date, t)] == pytest.approx(sum(same) / len(same))
 
 
-@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("values,mid,upper", [([1, 2, 4, 10], 3.0, 4.0), ([5, 1, 1], 1.0, 1.0), ([7], 7.0, 7.0)])
-def test_median(spark, split, values, mid, upper):
+def test_median(spark, values, mid, upper):
     df = frame(spark, [("a", float(v)) for v in values] + [("a", None)], "g string, x double")
-    assert exact_median(df, ["g"], "x", split=split).first()["median"] == mid
-    assert exact_median(df, [], "x", upper=True, split=split).first()["median"] == upper
+    assert exact_median(df, ["g"], "x").first()["median"] == mid
+    assert exact_median(df, [], "x", upper=True).first()["median"] == upper
 
 
-def test_size_check(spark):
-    df = frame(spark, _rows(), "date string, ticker string, x double")
-    assert needs_split(df, ["date"], limit=100) and not needs_split(df, ["date"])
+def test_one_value_over_a_whole_date(spark):
+    df = frame(spark, [("d", f"T{i:03d}", 1.0) for i in range(500)], "date string, ticker string, x double")
+    assert rank_table(df, ["date"], "x").collect()[0]["rank"] == 250.5
+    got = ordinal_rank(df, ["date"], [F.col("x"), F.col("ticker")]).collect()
+    assert {r["ticker"]: r["rn"] for r in got} == {f"T{i:03d}": i + 1 for i in range(500)}
 
 
 def test_top_k(spark):

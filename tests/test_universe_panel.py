@@ -77,8 +77,9 @@ def test_sector_codes_and_selection(spark):
             ("E", "SF1", "Domestic Common Stock", None)]
     df = frame(spark, rows, "ticker string, table string, category string, sector string")
     assert tuples(sector_codes(df).select("ticker", "industry")) == [("A", 1), ("B", 0)]
-    texts = frame(spark, [(" aapl, msft,,AAPL ",)], "text string")
-    assert [r["ticker"] for r in select_tickers(texts, "text", limit=1).collect()] == ["AAPL"]
+    texts = frame(spark, [(" msft, aapl,,MSFT ",)], "text string")
+    assert [r["ticker"] for r in select_tickers(texts, "text", limit=1).collect()] == ["MSFT"]
+    assert [r["ticker"] for r in select_tickers(texts, "text").collect()] == ["MSFT", "AAPL", "MSFT"]
 
 
 def test_last_filing_wins(spark):
@@ -119,11 +120,10 @@ def test_scale_by_assets(spark):
     assert bad["revenue"] is None and bad["assets"] is None and bad["eps"] == 3.0
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_rank_normalise(spark, split):
+def test_rank_normalise(spark):
     df = frame(spark, [("d", "A", 10.0, 1.0), ("d", "B", None, None), ("d", "C", 30.0, None), ("d", "D", 20.0, None)],
                "date string, ticker string, x double, y double")
-    got = {(r["ticker"], r["feature"]): r["z"] for r in rank_normalise(df, ["x", "y"], split=split).collect()}
+    got = {(r["ticker"], r["feature"]): r["z"] for r in rank_normalise(df, ["x", "y"]).collect()}
     assert got == {("A", 0): -1.0, ("C", 0): 1.0, ("D", 0): 0.0, ("A", 1): 0.0}
 
 
