@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import class_lm, decontam, html_text, licenses, mixing, near_dup, quality, secrets, token_files, toxicity
+from pitlane.llm import class_lm, decontam, html_text, licenses, mixing, near_dup, quality, secrets, sql, token_files, toxicity
 from pitlane.llm.tables import table
 
 
@@ -79,4 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": sql.CONTAMINATION,
+    "op2_secrets": sql.SECRETS,
+    "op7_quality_rules": sql.QUALITY,
+    "op8_near_duplicates": sql.NEAR_DUPLICATES,
+}
