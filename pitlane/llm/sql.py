@@ -82,7 +82,7 @@ WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents
  n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY doc_id),
  p AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS shared FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
  e AS (SELECT x, y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
- reach(doc, at) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.doc, e.y FROM reach JOIN e ON reach.at = e.x),
- c AS (SELECT doc, MIN(at) AS component_id FROM reach GROUP BY doc)
+ reach(doc, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.doc, e.y FROM reach JOIN e ON reach.other = e.x),
+ c AS (SELECT doc, MIN(other) AS component_id FROM reach GROUP BY doc)
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c ON c.doc = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
