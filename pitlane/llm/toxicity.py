@@ -1,8 +1,9 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Each is a small dictionary of its own
-class, made of the letter sequences that are much more frequent in it than in the other class, followed by one trained
-on both, so that ordinary passages compress alike. A text is cut into windows of eight words; a window's distance is
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Each is made of the letter sequences that
+are much more frequent in its class than in the other, followed by a common part trained on ordinary text, so that
+ordinary words compress alike. A window is a word with the spaces around it, after a lead-in that both dictionaries
+hold: the lead-in makes the fixed bytes of a frame the same for both, and even a short match shows. Its distance is
 the bytes it takes with the ordinary dictionary less those it takes with the toxic one. A logistic curve over a few
 statistics of a text's distances, fitted on labelled texts that the dictionaries have not seen, gives the score.
 
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class used at most, drawn by the hash of their ids, and characters of each.
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
-WINDOW, LEVEL = 8, 9
-COMMON_BYTES, OWN_BYTES = 4096, 1024
+LEVEL, COMMON_BYTES, OWN_BYTES = 9, 1024, 3072
+LEAD_IN = b"<0123456789|ABCDEFGHIJKLMNOPQRSTUVWXYZ|~!@^&()_+{}:;?/,.=-0987654321>"
+#: Distances that a worker remembers, of words of up to so many bytes.
+REMEMBERED, SHORT = 200_000, 64
 #: Letters of a sequence; the share of a class's texts it must be in; how much more frequent it must be there.
 GRAM, SHARE, RATIO = 5, 0.02, 8
 THRESHOLD = 0.3
@@ -105,21 +108,27 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 def _measure(ordinary: bytes, toxic: bytes):
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(content + LEAD_IN, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False)
 
     with_ordinary, with_toxic = compressor(ordinary), compressor(toxic)
+    known: dict[bytes, int] = {}
+
+    def distance(word: bytes) -> int:
+        if (d := known.get(word)) is None:
+            window = LEAD_IN + b" " + word + b" "
+            d = len(with_ordinary.compress(window)) - len(with_toxic.compress(window))
+            if len(word) <= SHORT:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[word] = d
+        return d
 
     def measure(words: list[bytes]) -> list[float]:
-        distance = []
-        for a in range(0, max(len(words), 1), WINDOW):
-            window = b" " + b" ".join(words[a:a + WINDOW]) + b" "
-            distance.append(len(with_ordinary.compress(window)) - len(with_toxic.compress(window)))
-        d = np.sort(np.array(distance, float))[::-1]
-        n = len(d)
-        return [d[0], d[:3].mean(), d[:max(1, n // 10)].mean(), d[n // 2], d[n // 4], np.maximum(d - 1, 0).mean(),
-                np.log1p((d >= 4).sum()), d.mean(), np.log1p(n), (d >= 2).mean(), (d >= 3).mean(), (d >= 4).mean(),
-                (d >= 6).mean(), (d < 0).mean()]
+        d = np.sort(np.array([distance(w) for w in words] or [0], float))[::-1]
+        return [d[0], d[:3].mean(), d[:10].mean(), d.mean(), np.log1p(len(d)),
+                *[np.log1p((d >= k).sum()) for k in (1, 2, 3, 4, 5, 6)], *[(d >= k).mean() for k in (1, 2, 3, 4, 5)],
+                (d < 0).mean(), (d < -2).mean()]
 
     return measure
 
@@ -136,7 +145,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Detector:
     if min(map(len, parts)) < 5 or len(set(toxic[held].tolist())) < 2:
         return Detector(b"", b"", None, prior)
     seen = [_grams(p) for p in parts]
-    common = _dictionary([b" ".join(w)[:4000] for p in parts for w in p], COMMON_BYTES)
+    common = _dictionary([b" ".join(w)[:4000] for w in parts[0]], COMMON_BYTES)
     own = []
     for a in (0, 1):
         chosen = _frequent(seen[a], len(parts[a]), seen[1 - a], len(parts[1 - a]))
@@ -181,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Detector:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), over the whole text.
 
-    A null or empty text counts as one empty window. A row without an id is not held out. Without labels of both
+    A null or empty text counts as one window of distance 0. A row without an id is not held out. Without labels of both
     classes every score is the share of toxic ones.
     """
     detector = train(docs, labels)
