@@ -7,9 +7,10 @@ principle two signatures within 19 differ in at most one component of some chunk
 component left out of it finds all such pairs. Candidates are confirmed on the full sets (64-bit shingle hashes).
 
 Documents with equal sets are one class from the start. Buckets are not expanded into pairs: every class is first
-compared with one leader, confirmed links are joined into components, and only then are pairs compared, inside blocks
-of a bucket, whose members are still in different components. So a group of near copies costs a pass, whatever its
-size, and no link between components is lost.
+compared with one leader, the member that shares most, and confirmed links are joined into components. Only then are
+pairs compared, inside blocks of a bucket, whose members are still in different components; a pair is looked at in the
+first bucket it shares, and passed on only if its signatures are near and two upper bounds of the intersection allow a
+link: the shingles that other candidates hold too, and the sizes of both sets by 256 bins of the hash. So a group of near copies costs about a pass, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ DISTANCE = 2 * CHUNKS - 1
 #: Rows of a bucket that are compared with as many others in one step.
 BLOCK = 4096
 SHINGLE = 4
+BINS = 256
 
 _ONE = np.uint64(1)
 _MULTIPLY = words.mix(np.arange(1, SIZE + 1, dtype=np.uint64)) | _ONE
 _ADD = words.mix(np.arange(1001, SIZE + 1001, dtype=np.uint64))
+_OPEN = np.full(BINS, 255, np.uint8)
 _PLACE = words.mix(np.arange(2001, 2001 + 16, dtype=np.uint64)) | _ONE
 
 
@@ -107,7 +110,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             total = words.mix(total * _PLACE[j] + sketch[:, c * PER_CHUNK + j])
                     found.append(total.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(found)), pa.array(np.tile(np.asarray(part.column(0)), SIZE))], names=["key", "id"])
+                pa.array(np.concatenate(found)), pa.array(np.repeat(np.arange(SIZE, dtype=np.int32), len(sketch))),
+                pa.array(np.tile(np.asarray(part.column(0)), SIZE))], names=["key", "slot", "id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +120,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, stop = shingles(piece)
             edges = np.concatenate([[0], stop]) * 8
             data = found.astype("<u8").tobytes()
+            row = np.repeat(np.arange(piece.rows), np.diff(np.concatenate([[0], stop])))
+            bins = np.bincount(row * BINS + (found >> np.uint64(56)).astype(np.int64), minlength=piece.rows * BINS)
+            bins = bins.reshape(piece.rows, BINS)
+            full = bins.max(axis=1) > 255  # a bin that does not fit a byte bounds nothing
+            bins = np.where(full[:, None], 255, bins).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(piece.first, piece.rows),
                 pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-            ], names=["id", "set"])
+                pa.array([None if f else b.tobytes() for f, b in zip(full, bins, strict=True)], pa.binary()),
+            ], names=["id", "set", "bins"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shingle of every set."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            data = [np.frombuffer(x, "<i8") for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(data)), pa.array(np.repeat(np.asarray(part.column(0)), [len(x) for x in data]))],
+                names=["h", "id"])
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -144,6 +165,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(far <= DISTANCE))
 
 
+def _first_slot(differ: np.ndarray) -> np.ndarray:
+    """The first key that pairs share, from where their components differ: a chunk, and the component left out."""
+    misses = differ.sum(axis=2)
+    chunk = np.argmax(misses <= 1, axis=1)
+    row = np.arange(len(differ))
+    left_out = np.where(misses[row, chunk] == 1, np.argmax(differ[row, chunk], axis=1), 0)
+    return np.where(misses[row, chunk] <= 1, chunk * PER_CHUNK + left_out, -1)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs within the distance and of different components, from rows sorted by (key, i, j).
 
@@ -152,14 +182,24 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         sides = rows.column("side").to_numpy()
-        ids, comps = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        ids, comps, main, n, shared = (rows.column(c).to_numpy() for c in ("id", "comp", "main", "n", "shared"))
         sketch = _sketch(rows.column("sig").combine_chunks())
+        bins = np.array([np.frombuffer(x, np.uint8) if x else _OPEN for x in rows.column("bins").to_pylist()])
+        slot = rows.column("slot")[0].as_py()
         own, others = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        main = rows.column("main").to_numpy()
         a, b = [], []
         for o in others:
             fit = own[(comps[own] != comps[o]) & ((comps[own] == main[own]) | (ids[own] > ids[o]))]
-            fit = fit[(sketch[fit] != sketch[o]).sum(axis=1) <= DISTANCE]
+            most = np.minimum(shared[fit], shared[o])
+            fit = fit[100 * most >= 80 * (n[fit] + n[o] - most)]
+            differ = (sketch[fit] != sketch[o]).reshape(-1, CHUNKS, PER_CHUNK)
+            near = (differ.sum(axis=(1, 2)) <= DISTANCE) & (_first_slot(differ) == slot)
+            fit = fit[near]
+            most = np.minimum(shared[fit], shared[o])
+            if (bins[o] < 255).any():
+                both = np.minimum(bins[fit], bins[o]).sum(axis=1, dtype=np.int64)
+                most = np.where((bins[fit] < 255).any(axis=1), np.minimum(most, both), most)
+            fit = fit[100 * most >= 80 * (n[fit] + n[o] - most)]
             a.append(np.full(len(fit), ids[o]))
             b.append(ids[fit])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -190,6 +230,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """id, alone: how many shingles of each set no other set here holds. Those can be in no intersection."""
+    held = sets.mapInArrow(_spread, "h long, id long").groupBy("h").agg(
+        F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return held.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -202,38 +249,49 @@ def link(docs: DataFrame) -> DataFrame:
     same = ["n_shingles", "d1", "d2"]
     classes = cut(marked.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(
         F.min("doc_id").alias("id"), F.min("sig").alias("sig")))
-    by_id = classes.select("id", "sig")  # an id that leads several texts has several rows
-    keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").drop("n")
+    by_id = classes.select("id", "sig", F.col("n_shingles").alias("n"))  # an id that leads several texts has several rows
+    keys = classes.select("id", "sig").mapInArrow(_keys, "key long, slot int, id long")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(keys.join(buckets, "key").distinct())
-    leaders = members.where("id <> low").groupBy("id").agg(F.min("low").alias("low"))
-    wanted = members.select("id").distinct()
+    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weights, "id").select("key", "id", "weight")
+    tops = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("low"))).alias("top"))
+    leaders = weighed.join(tops, "key").groupBy("id").agg(F.max("top").alias("top"))
+    first = leaders.select((-F.col("top.low")).alias("a"), F.col("id").alias("b")).where("a <> b")
     bodies = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    wanted = weights.select("id")
     sets = cut(bodies.join(wanted, bodies["doc_id"] == wanted["id"], "left_semi").mapInArrow(
-        _sets, "id long, set binary").where("length(set) > 0"))
+        _sets, "id long, set binary, bins binary").where("length(set) > 0"))
 
     signed = lambda name, as_: by_id.select(F.col("id").alias(name), F.col("sig").alias(as_))
-    first = leaders.select(F.col("low").alias("a"), F.col("id").alias("b"))
     near = first.join(signed("a", "x"), "a").join(signed("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(
         _near, "a long, b long")
     links = cut(_confirmed(near, sets))
     comps = cut(components(links))
 
-    placed = members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = members.join(comps, "id", "left").select("key", "slot", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"),
                          F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("others"))
-    spread = placed.join(mixed, "key").withColumns({
-        "h": F.xxhash64("id"), "own": F.pmod(F.xxhash64("id"), F.col("blocks"))})
+    open_rows = cut(placed.join(mixed, "key"))
+    here = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
+    alone = _alone(here.select("id", "set"))
+    several = by_id.groupBy("id").count().where("count > 1")  # of their texts it is not known which holds what
+    alone = alone.join(several, "id", "left_anti")
+    known = (by_id.join(alone, "id", "left")
+             .join(here.select("id", "bins").join(several, "id", "left_anti"), "id", "left")
+             .select("id", "sig", "n", "bins", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
+    spread = open_rows.withColumns({"h": F.xxhash64("id"), "own": F.pmod(F.xxhash64("id"), F.col("blocks"))})
     steps = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own = spread.select("key", "id", "comp", "main", F.lit(0).alias("side"), F.col("own").alias("i"),
+    own = spread.select("key", "slot", "id", "comp", "main", F.lit(0).alias("side"), F.col("own").alias("i"),
                         F.explode(steps("others")).alias("j"))
     others = spread.where("comp <> main").select(
-        "key", "id", "comp", "main", F.lit(1).alias("side"), F.explode(steps("blocks")).alias("i"),
+        "key", "slot", "id", "comp", "main", F.lit(1).alias("side"), F.explode(steps("blocks")).alias("i"),
         F.pmod(F.xxhash64("h"), F.col("others")).alias("j"))
-    rows = own.unionAll(others).join(by_id, "id").select("key", "i", "j", "side", "id", "comp", "main", "sig")
+    rows = own.unionAll(others).join(known.where("100 * shared >= 80 * n"), "id").select(
+        "key", "i", "j", "slot", "side", "id", "comp", "main", "n", "shared", "sig", "bins")
     rest = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _across, "a long, b long").distinct()
     more = cut(_confirmed(rest, sets))
