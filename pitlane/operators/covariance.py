@@ -159,6 +159,29 @@ def mean_variance_weights(
     return rows.groupBy("run_id", "date").applyInPandas(solve, "run_id string, date date, ticker string, weight double")
 
 
+def optimality(rows: DataFrame, weights: DataFrame, *, tolerance: float = 5e-3) -> DataFrame:
+    """Status of every minimum-variance solve: did it converge, and do its weights meet the conditions of the optimum?
+
+    The variance less the smallest product of a covariance row with the weights bounds how far the variance is above
+    its minimum. ``tolerance`` is relative to the variance; weights are cut to six digits. ``rows`` are
+    :func:`covariance_rows`, ``weights`` those of :func:`mean_variance_weights`; a solve without weights has a row too.
+    """
+    held = rows.select("run_id", "date", "ticker", "pos", "cov").join(weights, ["run_id", "date", "ticker"], "left")
+    book = held.where(F.col("weight").isNotNull()).groupBy("run_id", "date").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "weight"))), lambda s: s["weight"]).alias("w"))
+    products = F.zip_with("cov", "w", lambda c, w: c * w)
+    slopes = held.join(book, ["run_id", "date"], "left").withColumn(
+        "slope", F.aggregate(products, F.lit(0.0), lambda a, x: a + x))
+    per = slopes.groupBy("run_id", "date").agg(
+        F.count("*").alias("n_names"), F.count("weight").alias("n"), F.sum("weight").alias("total"), F.min("weight").alias("low"),
+        F.sum(F.col("weight") * F.col("slope")).alias("variance"), F.min("slope").alias("least"))
+    met = F.col("least") >= F.col("variance") * (1 - tolerance)
+    return per.select(
+        "run_id", "date", "n_names", (F.col("n") == F.col("n_names")).alias("converged"),
+        F.coalesce(F.abs(F.col("total") - 1) <= 1e-4, F.lit(False)).alias("sums_to_one"),
+        F.coalesce(F.col("low") >= 0, F.lit(False)).alias("long_only"), F.coalesce(met, F.lit(False)).alias("optimal"))
+
+
 def expected_returns(selected: DataFrame, *, by: tuple[str, ...] = ("run_id", "date")) -> DataFrame:
     """Scores as expected returns: population z-score inside the selection, times a fixed scale; flat gives 0."""
     stats = selected.groupBy(*by).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_sd"))

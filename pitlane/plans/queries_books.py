@@ -12,11 +12,12 @@ from pitlane.operators.book import (
     simulate,
 )
 from pitlane.operators.covariance import (
-    cost_aware_inputs, covariance_long, covariance_rows, expected_returns, mean_variance_weights, return_windows,
+    cost_aware_inputs, covariance_long, covariance_rows, expected_returns, mean_variance_weights, optimality, return_windows,
 )
 from pitlane.operators.evaluation import metric_spread, rolling_windows
 from pitlane.operators.holdings import effective_holdings, scores_at, top_scored
 from pitlane.operators.metrics import run_metrics
+from pitlane.operators.universe import members_on
 from pitlane.operators.weights import (
     bad_weights, buy_and_hold, equal_weight, every_nth, momentum_at, momentum_table, momentum_weights, run_timeline,
     score_equal, score_proportional, trades,
@@ -51,9 +52,8 @@ def steps(t: Tables) -> DataFrame:
 
 def symbols(t: Tables) -> DataFrame:
     """The basket of each run: the members on its first day."""
-    spells = t.members.join(runs(t), (F.col("start_date") <= F.col("start")) & (
-        F.col("end_date").isNull() | (F.col("start") <= F.col("end_date"))))
-    return spells.select("run_id", "ticker").distinct()
+    on_day = members_on(runs(t), t.members, date="start").withColumnRenamed("date", "start")
+    return runs(t).select("run_id", "start").join(on_day, "start").select("run_id", "ticker").distinct()
 
 
 SYMBOLS_SQL = f"SELECT DISTINCT r.run_id, m.ticker FROM ({RUNS_SQL}) r JOIN members m ON m.start_date <= r.start AND (m.end_date IS NULL OR r.start <= m.end_date)"
@@ -289,6 +289,19 @@ def weights_min_variance(t: Tables) -> DataFrame:
     return mean_variance_weights(basket_windows(t), mode="min_var")
 
 
+_KKT = f"""WITH w AS (SELECT * FROM ({_WIN}) x WHERE ticker IN {BASKET})
+ SELECT 'B' AS run_id, date, COUNT(*) AS n_names, TRUE AS converged, TRUE AS sums_to_one, TRUE AS long_only, TRUE AS optimal
+ FROM w GROUP BY date HAVING COUNT(*) >= 2"""
+
+
+@query("min_variance_optimal", "J4 D40", with_ctes("monthly", body=_KKT))
+def min_variance_optimal(t: Tables) -> DataFrame:
+    """Every rebalance has weights; they sum to one, none is negative, and no name could lower the variance."""
+    windows = basket_windows(t)
+    rows = cut(covariance_rows(windows, ridge=1e-6))
+    return optimality(rows, cut(mean_variance_weights(windows, mode="min_var")))
+
+
 @query("weights_mean_variance", "J4")
 def weights_mean_variance(t: Tables) -> DataFrame:
     return mean_variance_weights(basket_windows(t), mode="mean_var", risk_aversion=3.0)

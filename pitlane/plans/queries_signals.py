@@ -574,9 +574,33 @@ def trial_families(t: Tables) -> DataFrame:
     return rounded(out, "sharpe", "skew", "kurt", "mean_sharpe", "sr_var", "psr")
 
 
-@query("deflated_sharpe", "K6 K7 K8 K9 H6 H15")
+def _newton(step: int) -> str:
+    """One step of the quantile search on the distribution function."""
+    cells = ", ".join(f"z{i} - ({cdf_sql(f'z{i}')} - p{i}) / (EXP(-z{i} * z{i} / 2) / SQRT(2 * PI())) AS z{i}" for i in (1, 2))
+    return f"q{step} AS (SELECT start, \"end\", n_trials, sr_var, mean_sharpe, p1, p2, {cells} FROM q{step - 1})"
+
+
+def _start(i: int) -> str:
+    t = f"SQRT(-2 * LN(1 - p{i}))"
+    return f"{t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}) AS z{i}"
+
+
+_DEFLATED = f"""WITH {_TRIALS_SQL},
+ p AS (SELECT *, 1 - 1.0::DOUBLE / n_trials AS p1, 1 - 1.0::DOUBLE / (n_trials * EXP(1.0::DOUBLE)) AS p2 FROM fam WHERE n_trials >= 2),
+ q0 AS (SELECT *, {_start(1)}, {_start(2)} FROM p), {", ".join(_newton(i) for i in range(1, 5))},
+ d AS (SELECT tr.run_id, tr.start, tr."end", fam.n_trials, n_obs, sharpe, skew, kurt, fam.mean_sharpe, fam.sr_var,
+  SQRT(q4.sr_var) * ((1 - 0.5772156649015329) * z1 + 0.5772156649015329 * z2) AS expected_max,
+  SQRT(n_obs - 1) / SQRT(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS k
+  FROM tr JOIN fam ON tr.start = fam.start AND tr."end" = fam."end" LEFT JOIN q4 ON tr.start = q4.start AND tr."end" = q4."end"),
+ v AS (SELECT *, {cdf_sql('sharpe * k')} AS psr, {cdf_sql('(sharpe - expected_max) * k')} AS dsr FROM d)
+ SELECT run_id, start, "end", n_trials, n_obs, {r6('sharpe')} AS sharpe, {r6('skew')} AS skew, {r6('kurt')} AS kurt, {r6('mean_sharpe')} AS mean_sharpe,
+ {r6('sr_var')} AS sr_var, {r6('sharpe * SQRT(252.0::DOUBLE)')} AS sharpe_annual, {r6('expected_max')} AS expected_max, {r6('psr')} AS psr, {r6('dsr')} AS dsr,
+ CASE WHEN dsr > 0.95 THEN 'survives' WHEN dsr < 0.5 THEN 'does NOT survive' WHEN dsr IS NOT NULL THEN 'marginal under' END AS verdict FROM v"""
+
+
+@query("deflated_sharpe", "K6 K7 K8 K9 H6 H15", with_ctes("rets", body=_DEFLATED))
 def deflated_sharpe_query(t: Tables) -> DataFrame:
-    return deflate(trials(t)).withColumn("verdict", verdict("dsr"))
+    return rounded(deflate(trials(t)), "sharpe", "skew", "kurt", "mean_sharpe", "sr_var", "sharpe_annual", "expected_max", "psr", "dsr")
 
 
 @query(
