@@ -161,3 +161,10 @@ def trades(
     return wanted.select(
         *keys, side.alias("side"), F.abs("delta").alias("qty"), (F.col("delta") > 0).cast("int").alias("side_order")
     )
+
+
+def valued_weights(held: DataFrame, *, by: tuple[str, ...] = ("run_id", "date")) -> DataFrame:
+    """Weight of every holding (qty, close) in the value of its book; null where the book is worth nothing."""
+    worth = F.col("qty") * F.col("close")
+    total = held.groupBy(*by).agg(F.sum(worth).alias("_v"))
+    return held.join(total, list(by)).withColumn("weight", F.when(F.col("_v") > 0, worth / F.col("_v"))).drop("_v")

@@ -121,11 +121,12 @@ def write_both(df: DataFrame, stem: str, *, sort_by: Sequence[str] = ()) -> None
     ordered.write.mode("overwrite").csv(f"{stem}.csv", header=True)
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file under a path."""
+def file_manifest(spark: SparkSession, path: str, *, full_path: bool = False) -> DataFrame:
+    """Name (and path, if asked), size and SHA-256 of every file under a path. A file is read as one value: files must
+    be smaller than 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
+        *(["path"] if full_path else []), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
