@@ -177,7 +177,7 @@ _NAMEW = "SELECT ticker AS run_id, month AS date, ticker, CAST(n_rows AS DOUBLE)
 
 
 @query(
-    "weights_rejected", "J8 J9",
+    "weights_rejected", "J8",
     with_ctes(
         "monthly",
         body=f"SELECT run_id, date, {r6('MIN(weight)')} AS lowest, {r6('SUM(weight)')} AS total FROM ({_NAMEW}) w GROUP BY run_id, date HAVING MIN(weight) < 0 OR SUM(weight) > 1 + 1e-9",
@@ -207,7 +207,7 @@ def effective_holdings_query(t: Tables) -> DataFrame:
 
 
 @query(
-    "rebalance_trades", "J10 C12 G2 B16 H13 E20",
+    "rebalance_trades", "J10 C12 G2 B16 H13",
     with_ctes(
         "book", "monthly",
         body=f"""SELECT run_id, date, ticker, CASE WHEN delta < 0 THEN 'sell' ELSE 'buy' END AS side, {r6('ABS(delta)')} AS qty,

@@ -57,7 +57,7 @@ def ridge_one_feature(t: Tables) -> DataFrame:
 
 
 @query(
-    "ridge_one_feature_scores", "I1 I4 H8 A16",
+    "ridge_one_feature_scores", "I1 I4 H8",
     with_ctes(
         "enough",
         body=f"WITH {_RIDGE} SELECT date, ticker, {r6('s - AVG(s) OVER (PARTITION BY date)')} AS score FROM (SELECT o.*, predicted - y AS s FROM o) q",

@@ -369,7 +369,7 @@ METRIC_SQL = """SELECT *, total_return - benchmark_return AS active_return FROM
 
 
 @query(
-    "run_metrics", "D8 D9 D10 D11 D12 D13 D14 D15 D16 D17 D18 D20 D21 H11",
+    "run_metrics", "D8 D9 D10 D11 D12 D13 D14 D15 D16 D17 D18 D21 H11",
     with_ctes(
         "rets",
         body=f"SELECT run_id, n_steps, {r6('start_equity')} AS start_equity, {r6('final_equity')} AS final_equity, "
@@ -561,7 +561,7 @@ _TRIALS_SQL = """tr AS (SELECT run_id, MIN(s) AS start, MAX(e) AS "end", COUNT(*
 
 
 @query(
-    "trial_families", "D39 C17 K9",
+    "trial_families", "D39 C17 K6 K9",
     with_ctes(
         "rets",
         body=f"""WITH {_TRIALS_SQL} SELECT run_id, n_trials, n_obs, {r6('sharpe')} AS sharpe, {r6('skew')} AS skew, {r6('kurt')} AS kurt,
@@ -633,7 +633,7 @@ def cv_folds(t: Tables) -> DataFrame:
 
 
 @query(
-    "cv_purged", "K3 C16 K5 M15",
+    "cv_purged", "K3 C16 M15",
     with_ctes(
         "calendar",
         body=f"""WITH days AS ({_DAYS}), f AS ({_FOLD.format(k=5)}), b AS (SELECT g, MIN(idx) AS a, MAX(idx) AS z FROM f GROUP BY g)

@@ -231,7 +231,7 @@ def ticker_selection(t: Tables) -> DataFrame:
 
 
 @query(
-    "conversion_stats", "A19 A18",
+    "conversion_stats", "A19",
     with_ctes(
         "filings",
         body="""SELECT COUNT(*) AS n_rows, COUNT(DISTINCT ticker) AS n_tickers, MIN(datekey) AS date_min, MAX(datekey) AS date_max
@@ -243,7 +243,7 @@ def conversion_stats_query(t: Tables) -> DataFrame:
 
 
 @query(
-    "score_panel", "A30 B12 A6",
+    "score_panel", "A30 B12",
     with_ctes("scores", body=f"SELECT date, ticker, {r6('score')} AS score FROM scores WHERE date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'"),
 )
 def score_panel_query(t: Tables) -> DataFrame:
@@ -466,7 +466,7 @@ def _ledger(t: Tables) -> DataFrame:
 
 
 @query(
-    "ledger_latest", "A26 A25 M17",
+    "ledger_latest", "A26 M17",
     """SELECT o_orderstatus AS kind, o_orderpriority AS slug, o_orderkey AS seq, o_totalprice AS payload FROM (
  SELECT o.*, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
  FROM orders o) z WHERE rn = 1""",
