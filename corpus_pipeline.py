@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pitlane.llm import decontam, mixing, near_dup, quality, token_files
 from pitlane.llm.queries import vocabulary
-from pitlane.llm.tables import table
+from pitlane.llm.tables import bounded_batches, table
 from pitlane.session import cut
 
 #: Shares of all tokens after the mix: little that looks poor or toxic, the rest clean.
@@ -19,26 +19,31 @@ TARGETS = {"clean": 0.95, "poor": 0.01, "toxic": 0.04}
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    bounded_batches(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    bounded_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go; elsewhere such spans are cut out."""
+    bounded_batches(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix asks, so a document may stay out or come twice."""
+    bounded_batches(spark)
     return mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID files, and one row per document read back from them."""
+    bounded_batches(spark)
     return token_files.token_digest(docs, vocabulary())
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pitlane.llm import class_lm, decontam, html_text, licenses, mixing, near_dup, quality, secrets, sql, token_files, toxicity
-from pitlane.llm.tables import table
+from pitlane.llm.tables import bounded_batches, table
 
 
 def vocabulary() -> str:
@@ -66,17 +66,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                           table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_secrets": op2_secrets,
-    "op3_class_lm": op3_class_lm,
-    "op4_mixing": op4_mixing,
-    "op5_html_text": op5_html_text,
-    "op6_licenses": op6_licenses,
-    "op7_quality_rules": op7_quality_rules,
-    "op8_near_duplicates": op8_near_duplicates,
-    "op9_token_files": op9_token_files,
-    "op10_toxicity": op10_toxicity,
+    "op1_decontamination": _bounded(op1_decontamination),
+    "op2_secrets": _bounded(op2_secrets),
+    "op3_class_lm": _bounded(op3_class_lm),
+    "op4_mixing": _bounded(op4_mixing),
+    "op5_html_text": _bounded(op5_html_text),
+    "op6_licenses": _bounded(op6_licenses),
+    "op7_quality_rules": _bounded(op7_quality_rules),
+    "op8_near_duplicates": _bounded(op8_near_duplicates),
+    "op9_token_files": _bounded(op9_token_files),
+    "op10_toxicity": _bounded(op10_toxicity),
 }
 
 SQL: dict[str, str] = {
