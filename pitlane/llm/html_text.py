@@ -187,8 +187,9 @@ def _line(text):
 def learn(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most ``sample`` pages one of whose longest blocks is a line of a document; {} if there are
     none. Of several documents the one with most of these lines counts, then the first."""
-    drawn = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(
-        F.xxhash64("page_id"), "page_id").limit(sample)
+    known = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", "html")
+    ids = known.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    drawn = known.join(F.broadcast(ids), "page_id")  # at most `sample` numbers
 
     def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
