@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,41 +16,17 @@ from pitlane.operators.panel import (
 from pitlane.operators.ranks import ordinal_rank
 from pitlane.session import cut
 
-MODELS = ("ridge", "gbt")
+def _checked(target: str, burn_in: int) -> None:
+    if target not in TARGETS or burn_in < 1:
+        raise ValueError(f"a fit needs a target of {TARGETS} and one month of history at least: {target!r}, {burn_in}")
 
 
-@dataclass(frozen=True)
-class ModelConfig:
-    """Settings of one expanding fit."""
-
-    model: str = "ridge"
-    burn_in: int = 96
-    alpha: float = 1.0
-    target: str = "cap"
-    scale_features: bool | None = None
-    industry: bool = False
-    shuffle_labels: bool = False
-    seed: int = 0
-
-    def __post_init__(self) -> None:
-        if self.model not in MODELS:
-            raise ValueError(f"model must be one of {MODELS}, got {self.model!r}")
-        if self.target not in TARGETS:
-            raise ValueError(f"target must be one of {TARGETS}, got {self.target!r}")
-        if self.burn_in < 1:
-            raise ValueError(f"burn_in must be >= 1, got {self.burn_in}")
-
-    @property
-    def scaled(self) -> bool:
-        return self.target in DEFLATOR if self.scale_features is None else self.scale_features
-
-    @property
-    def partition(self) -> dict[str, str]:
-        """Partition values of the score table this fit is written to."""
-        return {
-            "model": self.model, "target": self.target, "industry": str(self.industry).lower(),
-            "scaled": str(bool(self.scale_features)).lower(), "placebo": str(self.shuffle_labels).lower(),
-        }
+def score_partition(
+    model: str, target: str, *, industry: bool = False, scaled: bool = False, placebo: bool = False
+) -> dict[str, str]:
+    """Partition values of the score table that a fit is written to."""
+    flags = {"industry": industry, "scaled": scaled, "placebo": placebo}
+    return {"model": model, "target": target, **{k: str(v).lower() for k, v in flags.items()}}
 
 
 def labelled(panel: DataFrame) -> DataFrame:
@@ -152,38 +127,49 @@ def design_vectors(panel: DataFrame, features: Sequence[str] = FEATURES) -> Data
     )
 
 
-def expanding_ridge(panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES) -> DataFrame:
+def expanding_ridge(
+    panel: DataFrame, features: Sequence[str] = FEATURES, *, target: str = "cap", burn_in: int = 96, alpha: float = 1.0,
+    placebo_seed: int | None = None,
+) -> DataFrame:
     """Ridge scores for every date from the burn-in on. Fewer dates than that give no rows.
 
+    With ``placebo_seed`` the fit learns from permuted labels; its errors are against the real ones.
+
     The feature vectors are stored once: the sums, the section order and the predictions read them.
     """
-    train = placebo_labels(panel, config.seed) if config.shuffle_labels else panel
+    _checked(target, burn_in)
+    train = panel if placebo_seed is None else placebo_labels(panel, placebo_seed)
     vectors = cut(design_vectors(train, features))
-    coefficients = ridge_coefficients(vectors, len(features), burn_in=config.burn_in, alpha=config.alpha)
+    coefficients = ridge_coefficients(vectors, len(features), burn_in=burn_in, alpha=alpha)
     scored = ridge_predictions(vectors, coefficients)
-    if config.shuffle_labels:
+    if placebo_seed is not None:
         scored = scored.drop("target").join(panel.select("date", "ticker", "target"), ["date", "ticker"])
-    return emit_scores(scored, config.target)
+    return emit_scores(scored, target)
 
 
-def tree_inputs(panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES) -> tuple[DataFrame, list[str]]:
+def tree_inputs(
+    panel: DataFrame, features: Sequence[str] = FEATURES, *, scaled: bool = False, industry: bool = False
+) -> tuple[DataFrame, list[str]]:
     """Features for trees: levels or asset-scaled levels, a flag per feature for missing, sector code if asked."""
-    rows = scale_by_assets(panel) if config.scaled else panel
+    rows = scale_by_assets(panel) if scaled else panel
     cols = [F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features]
     cols += [F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in features]
     names = [*features, *[f"{f}_missing" for f in features]]
-    if config.industry:
+    if industry:
         cols.append((F.coalesce(F.col("industry"), F.lit(-1)) + 1).cast("double").alias("industry_code"))
         names.append("industry_code")
     return rows.select("date", "ticker", "target", *cols), names
 
 
 def expanding_trees(
-    panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES, *, refit_every: int = 1,
-    n_trees: int = 10, depth: int = 3,
+    panel: DataFrame, features: Sequence[str] = FEATURES, *, target: str = "cap", burn_in: int = 96,
+    scaled: bool | None = None, industry: bool = False, placebo_seed: int | None = None, seed: int = 0,
+    refit_every: int = 1, n_trees: int = 10, depth: int = 3,
 ) -> DataFrame:
     """Gradient-boosted tree scores; refitted at every month, or every ``refit_every``, on all earlier ones.
 
+    ``scaled`` features are divided by assets; by default where the target is deflated too.
+
     The months to score are listed by position (one small read of the distinct
     dates); each refit is a distributed fit and each scoring a transform, so the
     panel is never gathered. The sector code is a nominal feature, whatever the number of sectors.
@@ -193,11 +179,13 @@ def expanding_trees(
     from pyspark.ml.feature import VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
 
-    base, bins = placebo_labels(panel, config.seed) if config.shuffle_labels else panel, 64
-    rows, names = tree_inputs(base, config, features)
+    _checked(target, burn_in)
+    base, bins = panel if placebo_seed is None else placebo_labels(panel, placebo_seed), 64
+    rows, names = tree_inputs(
+        base, features, scaled=target in DEFLATOR if scaled is None else scaled, industry=industry)
     plain = VectorAssembler(inputCols=[n for n in names if n != "industry_code"], outputCol="plain")
     dated = plain.transform(rows.join(section_index(panel), "date"))
-    if config.industry:
+    if industry:
         sector = VectorAssembler(inputCols=["industry_code"], outputCol="sector").transform(dated)
         n_codes = dated.agg(F.count_distinct("industry_code")).first()[0]
         bins = max(bins, n_codes + 1)
@@ -209,10 +197,10 @@ def expanding_trees(
         dated = dated.withColumnRenamed("plain", "vector")
     n_sections = dated.agg(F.max("section")).first()[0]
     parts = []
-    for first in range(config.burn_in, (n_sections if n_sections is not None else -1) + 1, refit_every):
+    for first in range(burn_in, (n_sections if n_sections is not None else -1) + 1, refit_every):
         trees = GBTRegressor(
             featuresCol="vector", labelCol="target", predictionCol="predicted", maxIter=n_trees, maxDepth=depth,
-            maxBins=bins, seed=config.seed,
+            maxBins=bins, seed=seed,
         )
         fitted = trees.fit(labelled(dated.where(F.col("section") < first)))
         block = dated.where((F.col("section") >= first) & (F.col("section") < first + refit_every))
@@ -220,14 +208,9 @@ def expanding_trees(
     if not parts:
         return panel.select("date", "ticker", F.lit(0.0).alias("score")).limit(0)
     scored = reduce(DataFrame.unionByName, parts)
-    if config.shuffle_labels:
+    if placebo_seed is not None:
         scored = scored.drop("target").join(panel.select("date", "ticker", "target"), ["date", "ticker"])
-    return emit_scores(scored, config.target)
-
-
-def expanding_scores(panel: DataFrame, config: ModelConfig, features: Sequence[str] = FEATURES, **kw) -> DataFrame:
-    fit = expanding_ridge if config.model == "ridge" else expanding_trees
-    return fit(panel, config, features, **kw)
+    return emit_scores(scored, target)
 
 
 def one_feature_ridge(panel: DataFrame, feature: str, *, burn_in: int, alpha: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.operators.models import ModelConfig
+from pitlane.operators.models import score_partition
 from pitlane.operators.weights import valued_weights
 from pitlane.plans.fixtures import Tables, with_ctes
 from pitlane.plans.queries_sources import r6, rounded
@@ -46,9 +46,9 @@ def score_file(t: Tables) -> DataFrame:
 )
 def score_partitions(t: Tables) -> DataFrame:
     folder = _folder(t)
-    write_scores(t.scores, folder, mode="append", partition=ModelConfig().partition)
+    write_scores(t.scores, folder, mode="append", partition=score_partition("ridge", "cap"))
     negative = t.scores.withColumn("score", -F.col("score"))
-    write_scores(negative, folder, mode="append", partition=ModelConfig(model="gbt", target="mb").partition)
+    write_scores(negative, folder, mode="append", partition=score_partition("gbt", "mb"))
     return rounded(t.spark.read.parquet(folder).select("model", "target", "date", "ticker", "score"), "score")
 
 

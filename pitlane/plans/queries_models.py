@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.operators.models import (
-    ModelConfig, emit_scores, expanding_ridge, expanding_trees, labelled, one_feature_ridge, placebo_labels,
+    emit_scores, expanding_ridge, expanding_trees, labelled, one_feature_ridge, placebo_labels,
     section_index,
 )
 from pitlane.operators.signals import prediction_size, valuation_error
@@ -77,17 +77,17 @@ def ridge_one_feature_scores(t: Tables) -> DataFrame:
     ),
 )
 def ridge_gram_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t)), ModelConfig(burn_in=BURN_IN), ["roe"])
+    return expanding_ridge(cut(panel(t)), ["roe"], burn_in=BURN_IN)
 
 
 @query("ridge_scores", "I1 I4 I6 E6")
 def ridge_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t)), ModelConfig(burn_in=BURN_IN))
+    return expanding_ridge(cut(panel(t)), burn_in=BURN_IN)
 
 
 @query("ridge_return_scores", "I1 I4 H4")
 def ridge_return_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t, "ret")), ModelConfig(burn_in=BURN_IN, target="ret"))
+    return expanding_ridge(cut(panel(t, "ret")), burn_in=BURN_IN, target="ret")
 
 
 @query(
@@ -108,7 +108,7 @@ def placebo_label_sums(t: Tables) -> DataFrame:
 
 @query("ridge_placebo_error", "I5 D36")
 def ridge_placebo_error(t: Tables) -> DataFrame:
-    scores = expanding_ridge(cut(panel(t)), ModelConfig(burn_in=BURN_IN, shuffle_labels=True, seed=7))
+    scores = expanding_ridge(cut(panel(t)), burn_in=BURN_IN, placebo_seed=7)
     return valuation_error(cut(scores))
 
 
@@ -118,10 +118,10 @@ TREE_FEATURES = ("revenue", "gp", "netinc", "assets", "roe", "grossmargin")
 @query("tree_scores", "I2 I3 I6")
 def tree_scores(t: Tables) -> DataFrame:
     rows = cut(panel(t, "mb", sectors=sector_codes(t.tickers)))
-    config = ModelConfig(model="gbt", burn_in=BURN_IN, target="mb", industry=True)
-    return expanding_trees(rows, config, TREE_FEATURES, refit_every=30, n_trees=5, depth=3)
+    return expanding_trees(
+        rows, TREE_FEATURES, target="mb", burn_in=BURN_IN, industry=True, refit_every=30, n_trees=5, depth=3)
 
 
 @query("return_prediction_size", "D37 I4")
 def return_prediction_size(t: Tables) -> DataFrame:
-    return prediction_size(cut(expanding_ridge(cut(panel(t, "ret")), ModelConfig(burn_in=BURN_IN, target="ret"))))
+    return prediction_size(cut(expanding_ridge(cut(panel(t, "ret")), burn_in=BURN_IN, target="ret")))

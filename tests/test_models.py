@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlane.operators.models import (
-    ModelConfig, design_vectors, emit_scores, expanding_ridge, expanding_scores, one_feature_ridge, placebo_labels,
-    ridge_coefficients, ridge_predictions, tree_inputs,
+    design_vectors, emit_scores, expanding_ridge, expanding_trees, one_feature_ridge, placebo_labels,
+    ridge_coefficients, ridge_predictions, score_partition, tree_inputs,
 )
 from pitlane.operators.panel import FEATURES
 from tests.helpers import day, frame
@@ -32,7 +32,7 @@ def _planted(spark, months=7, cheap="S3", missing=False):
 
 def test_ridge_finds_the_planted_name(spark):
     panel = _planted(spark)
-    out = expanding_ridge(panel, ModelConfig(burn_in=5), ["x1", "x2"])
+    out = expanding_ridge(panel, ["x1", "x2"], burn_in=5)
     last = out.where(F.col("date") == "2020-07-28").orderBy(F.col("score").desc()).collect()
     assert last[0]["ticker"] == "S3" and last[0]["score"] > 0.5
     assert abs(sum(r["score"] for r in last)) < 1e-5
@@ -57,8 +57,8 @@ def test_scores_do_not_see_the_future(spark):
     panel = _planted(spark)
     bent = panel.withColumn("target", F.when(F.col("date") == "2020-07-28", F.col("target") * 9).otherwise(F.col("target")))
     keep = F.col("date") == "2020-06-28"
-    a = {r["ticker"]: r["score"] for r in expanding_ridge(panel, ModelConfig(burn_in=5), ["x1"]).where(keep).collect()}
-    b = {r["ticker"]: r["score"] for r in expanding_ridge(bent, ModelConfig(burn_in=5), ["x1"]).where(keep).collect()}
+    a = {r["ticker"]: r["score"] for r in expanding_ridge(panel, ["x1"], burn_in=5).where(keep).collect()}
+    b = {r["ticker"]: r["score"] for r in expanding_ridge(bent, ["x1"], burn_in=5).where(keep).collect()}
     assert a == b and len(a) == 8
 
 
@@ -91,19 +91,18 @@ def test_placebo_permutes_inside_dates(spark):
 
 def test_few_sections_and_bad_config(spark):
     panel = _planted(spark, months=3)
-    assert expanding_ridge(panel, ModelConfig(burn_in=3), ["x1"]).count() == 0
-    assert expanding_scores(panel, ModelConfig(model="gbt", burn_in=3), ["x1"]).count() == 0
-    for bad in (dict(burn_in=0), dict(model="tree"), dict(target="x")):
-        with pytest.raises(ValueError):
-            ModelConfig(**bad)
-    assert ModelConfig(target="mb").scaled and not ModelConfig().scaled
-    assert ModelConfig(shuffle_labels=True).partition["placebo"] == "true"
+    assert expanding_ridge(panel, ["x1"], burn_in=3).count() == 0
+    assert expanding_trees(panel, ["x1"], burn_in=3).count() == 0
+    for bad in (dict(burn_in=0), dict(target="x")):
+        for fit in (expanding_ridge, expanding_trees):
+            with pytest.raises(ValueError):
+                fit(panel, ["x1"], **bad)
+    assert score_partition("ridge", "cap", placebo=True)["placebo"] == "true"
 
 
 def test_trees_score_later_months_only(spark):
     panel = _planted(spark).withColumn("industry", F.when(F.col("ticker") < "S4", 0).otherwise(1))
-    config = ModelConfig(model="gbt", burn_in=5, industry=True)
-    out = expanding_scores(panel, config, ["x1", "x2"], refit_every=2, n_trees=30, depth=3)
+    out = expanding_trees(panel, ["x1", "x2"], burn_in=5, industry=True, refit_every=2, n_trees=30, depth=3)
     last = out.where(F.col("date") == "2020-07-28").orderBy(F.col("score").desc()).collect()
     assert out.count() == 16 and "S3" in [r["ticker"] for r in last[:2]] and max(r["score"] for r in last if r["ticker"] == "S3") > 0.3
 
@@ -113,6 +112,6 @@ def test_tree_inputs_flag_missing(spark):
     values = {"revenue": 50.0, "assets": 200.0}
     df = frame(spark, [(day("2020-01-31"), "A", 0.1, *[values.get(c) for c in FEATURES])],
                f"date date, ticker string, target double, {cols}")
-    rows, names = tree_inputs(df, ModelConfig(model="gbt", target="mb"))
+    rows, names = tree_inputs(df, scaled=True)
     r = rows.first()
     assert r["revenue"] == 0.25 and r["gp"] == 0.0 and r["gp_missing"] == 1.0 and len(names) == 94

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from pitlane.operators.models import ModelConfig
+from pitlane.operators.models import score_partition
 from pitlane.sources.fundamentals import load_filings, select_filings
 from pitlane.sources.ledger import (
     latest_run, latest_runs, read_ledger, record_runs, series_json, series_rows, slugs_of_kind,
@@ -104,7 +104,7 @@ def test_benchmark_csv(spark, tmp_path):
 def test_scores_round_trip(spark, tmp_path):
     path = str(tmp_path / "scores")
     df = frame(spark, [(day("2020-01-31"), "A", 0.5), (day("2020-01-31"), "B", 0.1)], "date date, ticker string, score double")
-    write_scores(df, path, partition=ModelConfig().partition)
+    write_scores(df, path, partition=score_partition("ridge", "cap"))
     assert spark.read.parquet(path).where("model = 'ridge' AND target = 'cap'").count() == 2
     assert tuples(load_scores(spark, path, ["A"])) == [(day("2020-01-31"), "A", 0.5)]
 
