@@ -1,11 +1,11 @@
 """Mixing to target weights with soft membership (operator 4).
 
 A classifier trained on the labelled table gives every document a posterior over domains. The rates r >= 0 at which
-documents are taken minimise the distance between the expected token totals of the domains, sum of r n p, and their
-targets, in the metric of the Gram matrix of n p; projected gradient steps from r = 1, scaled by the Gram matrix of the
-documents whose rate is not yet 0, stay as near to the natural mix as the targets allow. A step moves a document by its posterior times one vector of as many numbers as domains, so the
-state of the solver is the list of these vectors: a round sums a stored table of posteriors once, and the rate of any
-document follows from its posterior alone.
+documents are taken minimise the squared distance between the expected token totals of the domains, sum of r n p, and
+their targets, plus a small penalty on leaving r = 1, so that a domain that hardly occurs cannot blow rates up. Every
+round takes a gradient step, scaled by the Gram matrix of the documents whose rate is not 0, and projects the rates to
+r >= 0. At any point r = max(0, 1 - p z) for one vector z of as many numbers as domains: z is all the state there is,
+a round sums a stored table of posteriors once, and the rate of any document follows from its posterior alone.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ TARGETS = {"clean": 0.90, "poor": 0.04, "toxic": 0.06}
 #: Labelled rows the classifier learns from at most, drawn by the hash of their ids.
 SAMPLE = 4000
 BUCKETS, WORDS_USED = 1 << 14, 400
-ROUNDS = 60
+#: Rounds at most, and the weight of the penalty: shares are met to about this much.
+ROUNDS, PENALTY = 60, 1e-3
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!", np.uint8))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 
@@ -55,10 +56,12 @@ def _numbers(piece: words.Piece) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Softmax regression on the presence of chosen word buckets and a few ratios."""
+    """Softmax regression on the presence of chosen word buckets and a few ratios; ``seen`` tells the domains that had
+    an example."""
 
     buckets: np.ndarray
     weights: np.ndarray
+    seen: np.ndarray
 
     def posteriors(self, piece: words.Piece) -> np.ndarray:
         place = np.full(BUCKETS, -1, np.int32)
@@ -125,28 +128,22 @@ def fit(buckets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, rounds: i
         slope = x.T @ (_softmax(x @ ahead) - aim) / len(y) + 1e-4 * ahead
         speed = 0.9 * speed - 0.25 * scale * slope
         weights = weights + speed
-    return Classifier(chosen, weights)
+    return Classifier(chosen, weights, share > 0)
 
 
 @dataclass
 class Mix:
-    """What the solver learnt: the steps taken, the totals reached, and the targets."""
+    """What the solver learnt: the vector z, the totals reached, and the targets."""
 
     model: Classifier | None
-    steps: list[np.ndarray] = field(default_factory=list)
+    z: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
     reached: np.ndarray | None = None
     targets: np.ndarray | None = None
 
-    def rates(self, posteriors: np.ndarray) -> np.ndarray:
-        return rates(posteriors, self.steps)
 
-
-def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rate of each document after the projected steps."""
-    r = np.ones(len(posteriors))
-    for v in steps:
-        r = np.maximum(0.0, r - posteriors @ v)
-    return r
+def rates(posteriors: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The rate of each document."""
+    return np.maximum(0.0, 1.0 - posteriors @ z)
 
 
 def _posteriors(model: Classifier, piece: words.Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +153,8 @@ def _posteriors(model: Classifier, piece: words.Piece) -> tuple[np.ndarray, np.n
 def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Mix:
     """Train the classifier and find the steps that bring the mix of ``docs`` to ``targets`` (shares of all tokens).
 
-    Ends when the objective no longer falls, or after :data:`ROUNDS` rounds. Without labelled rows or without tokens
-    every rate is 1.
+    Ends when a step changes nothing, or after :data:`ROUNDS` rounds. A domain without a labelled example keeps the
+    tokens it has, and the others share the rest. Without labelled rows or without tokens every rate is 1.
     """
     targets = targets or TARGETS
     model = train(docs, labels)
@@ -173,39 +170,39 @@ def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
                                                  names=["n", *DOMAINS])
 
     scored = cut(docs.select("text").mapInArrow(score, "n long, " + ", ".join(f"{d} double" for d in DOMAINS)))
-    cells = [F.sum(F.col("n") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS]
-    sums = scored.agg(F.sum("n").alias("n"), *cells).first()
-    if not sums["n"]:
-        return Mix(None)
-    gram = np.array(sums[1:]).reshape(k, k)
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    aim = sums["n"] * np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    mix = Mix(model, [], None, aim)
-    before = np.inf
     pairs = [f"{a}_{b}" for a in DOMAINS for b in DOMAINS]
-    for _ in range(ROUNDS):
-        steps = list(mix.steps)
+
+    def totals(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, expected tokens by domain at the rates of ``z``, and the Gram matrix of the rows not at 0."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, *p = (c.to_numpy() for c in batch.columns)
                 p = np.column_stack(p)
-                r = rates(p, steps)
+                r = rates(p, z)
                 got, free = (n * r) @ p, (p * (n * (r > 0))[:, None]).T @ p
-                yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip([*DOMAINS, *pairs], [*got, *free.ravel()], strict=True)})
-
-        parts = scored.mapInArrow(add, ", ".join(f"{c} double" for c in [*DOMAINS, *pairs]))
-        now = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in [*DOMAINS, *pairs]]).first()])
-        gap = now[:k] - aim
-        cost = float(gap @ inverse @ gap)
-        if cost >= before:
-            mix.steps.pop()
-            break
-        mix.reached = now[:k]
-        if np.abs(gap).max() <= 1e-6 * sums["n"] or cost > before * (1 - 1e-6):
+                yield pa.RecordBatch.from_pydict(
+                    {c: [v] for c, v in zip(["n", *DOMAINS, *pairs], [float(n.sum()), *got, *free.ravel()], strict=True)})
+
+        columns = ["n", *DOMAINS, *pairs]
+        parts = scored.mapInArrow(add, ", ".join(f"{c} double" for c in columns))
+        now = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in columns]).first()])
+        return now[0], now[1:k + 1], now[k + 1:].reshape(k, k)
+
+    mix = Mix(model)
+    n, now, gram = totals(mix.z)
+    if not n:
+        return Mix(None)
+    wanted = np.array([targets[d] for d in DOMAINS]) * model.seen
+    mix.targets = np.where(model.seen, (n - now[~model.seen].sum()) * wanted / max(wanted.sum(), 1e-12), now)
+    for _ in range(ROUNDS):
+        mix.reached = now
+        slope = PENALTY * n * mix.z - (now - mix.targets)
+        step = np.linalg.solve(gram + PENALTY * n * np.eye(k), slope)
+        if np.abs(step).max() <= 1e-7:
             break
-        before = cost
-        mix.steps.append(np.linalg.pinv(now[k:].reshape(k, k), rcond=1e-9, hermitian=True) @ gap)
+        mix.z = mix.z - step
+        _, now, gram = totals(mix.z)
     return mix
 
 
@@ -225,7 +222,7 @@ def _apply(docs: DataFrame, mix: Mix, build, schema) -> DataFrame:
                 rows = batch.slice(piece.first, piece.rows)
                 n = np.diff(np.concatenate([[0], piece.stop])).astype(np.int64)
                 p = mix.model.posteriors(piece) if mix.model else np.full((piece.rows, len(DOMAINS)), 1 / len(DOMAINS))
-                rate = mix.rates(p)
+                rate = rates(p, mix.z)
                 yield build(rows, n, p, rate, copies(rate, rows.column(rows.num_columns - 1).to_numpy()))
 
     # Copies of a text are drawn apart by their ids, rows without an id by their texts.

@@ -270,7 +270,7 @@ def test_mixing_meets_its_targets(spark):
     got = mixing.report(docs, labels, aim).toPandas()
     total = got["n_tokens"].sum()
     for d, share in aim.items():
-        assert (got["n_tokens"] * got["rate"] * got[f"p_{d}"]).sum() / total == pytest.approx(share, abs=1e-4)
+        assert (got["n_tokens"] * got["rate"] * got[f"p_{d}"]).sum() / total == pytest.approx(share, abs=2e-3)
     assert (got["rate"] >= 0).all() and ((got["copies"] - got["rate"]).abs() < 1).all()
     taken = mixing.mixed(docs, labels, aim)
     assert taken.columns == docs.columns
@@ -278,6 +278,15 @@ def test_mixing_meets_its_targets(spark):
     assert {i: c for i, c in zip(got["doc_id"], got["copies"], strict=True) if c} == counts
 
 
+def test_mixing_without_examples_of_a_domain(spark):
+    """Nothing labelled poor: the rates stay near 1 however the target asks for poor text."""
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 80) + (" idiot scum" if i % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = mixing.report(frame(spark, rows), labels, {"clean": 0.8, "poor": 0.1, "toxic": 0.1}).toPandas()
+    assert got["rate"].max() < 1.5 and got["copies"].sum() == pytest.approx(300, abs=30)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     rows, marks = [], []
