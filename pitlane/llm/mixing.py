@@ -27,7 +27,7 @@ TARGETS = {"clean": 0.90, "poor": 0.04, "toxic": 0.06}
 #: Labelled rows the classifier learns from at most, drawn by the hash of their ids.
 SAMPLE = 4000
 BUCKETS, WORDS_USED = 1 << 14, 400
-#: Rounds at most, and the weight of the penalty: shares are met to about this much.
+#: Rounds at most, and the weight of the penalty; a share is missed by this much times its entry of z.
 ROUNDS, PENALTY = 60, 1e-3
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!", np.uint8))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)

@@ -270,7 +270,7 @@ def test_mixing_meets_its_targets(spark):
     got = mixing.report(docs, labels, aim).toPandas()
     total = got["n_tokens"].sum()
     for d, share in aim.items():
-        assert (got["n_tokens"] * got["rate"] * got[f"p_{d}"]).sum() / total == pytest.approx(share, abs=2e-3)
+        assert (got["n_tokens"] * got["rate"] * got[f"p_{d}"]).sum() / total == pytest.approx(share, abs=1e-2)
     assert (got["rate"] >= 0).all() and ((got["copies"] - got["rate"]).abs() < 1).all()
     taken = mixing.mixed(docs, labels, aim)
     assert taken.columns == docs.columns
