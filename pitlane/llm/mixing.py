@@ -1,17 +1,20 @@
 """Mixing to target weights with soft membership (operator 4).
 
 A classifier trained on the labelled table gives every document a posterior over domains. The rates r >= 0 at which
-documents are taken minimise the squared distance between the expected token totals of the domains, sum of r n p, and
-their targets, plus a small penalty on leaving r = 1, so that a domain that hardly occurs cannot blow rates up. Every
-round takes a gradient step, scaled by the Gram matrix of the documents whose rate is not 0, and projects the rates to
-r >= 0. At any point r = max(0, 1 - p z) for one vector z of as many numbers as domains: z is all the state there is,
-a round sums a stored table of posteriors once, and the rate of any document follows from its posterior alone.
+documents are taken bring the expected token totals of the domains, sum of r n p, to their targets; of all such rates
+they are the ones nearest to 1, by squares weighted with tokens. They are r = max(0, 1 - p z) for one vector z of as many
+numbers as domains, the minimum of a convex function: z is all the state there is, a round sums a stored table of
+posteriors once, and the rate of any document follows from its posterior alone. A round is a proximal Newton step: a
+penalty on leaving the last round's z steadies it and does not move the optimum. Targets that no rates can meet are
+reported; the penalty is then on leaving z = 0, so that rates stay moderate.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,13 @@ from pitlane.session import cut
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of all tokens that the mix should have.
 TARGETS = {"clean": 0.90, "poor": 0.04, "toxic": 0.06}
-#: Labelled rows the classifier learns from at most, drawn by the hash of their ids.
+#: Labelled rows of each domain the classifier learns from at most, drawn by the hash of their ids.
 SAMPLE = 4000
 BUCKETS, WORDS_USED = 1 << 14, 400
-#: Rounds at most, and the weight of the penalty; a share is missed by this much times its entry of z.
-ROUNDS, PENALTY = 60, 1e-3
+#: Rounds at most, the weight of the penalty in the first, the parts of a step that are tried, and how near a share must be.
+ROUNDS, PENALTY, STEPS, NEAR = 60, 1e-3, (1, 1 / 2, 1 / 8, 1 / 32), 1e-6
+#: Targets that need rates this far from 1, as root mean square over the tokens, count as out of reach.
+FAR = 100
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!", np.uint8))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 
@@ -80,11 +85,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """Learn from at most ``sample`` labelled rows; None if there are none."""
+    """Learn from at most ``sample`` labelled rows of each domain that are in ``docs``; None if there are none.
+
+    A drawn row stands for as many labelled rows of its domain as were there for each drawn one.
+    """
     marks = labels.select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain")).where(
         "doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    drawn = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` rows
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "domain", "text")
+    marks = cut(marks.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    there = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}  # a row a domain
+    drawn = reduce(DataFrame.unionAll, [marks.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(
+        sample) for d in DOMAINS])
+    # at most `sample` rows a domain
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +113,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         return None
     got = got.sort_values(["doc_id", "domain"], kind="stable").drop_duplicates("doc_id")
     y = np.array([DOMAINS.index(d) for d in got["domain"]])
-    return fit(list(got["b"]), np.vstack(got["x"]), y)
+    weight = np.array([there.get(d, 0) for d in DOMAINS]) / np.maximum(np.bincount(y, minlength=len(DOMAINS)), 1)
+    return fit(list(got["b"]), np.vstack(got["x"]), y, weight[y])
 
 
-def fit(buckets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, rounds: int = 400) -> Classifier:
-    """Softmax regression by gradient steps with momentum, on the buckets that part the domains best."""
+def fit(buckets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
+        rounds: int = 400) -> Classifier:
+    """Softmax regression by gradient steps with momentum, on the buckets that part the domains best; ``weight`` is how
+    many rows each one stands for."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
     row = np.repeat(np.arange(len(y)), [len(b) for b in buckets])
     bucket = np.concatenate(buckets).astype(np.int64) if len(row) else np.zeros(0, np.int64)
     share = np.bincount(y, minlength=len(DOMAINS)) / len(y)
@@ -122,10 +138,10 @@ def fit(buckets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, rounds: i
     x[:, -6:-1], x[:, -1] = numbers, 1
     aim = np.eye(len(DOMAINS))[y]
     weights, speed = np.zeros((x.shape[1], len(DOMAINS))), np.zeros((x.shape[1], len(DOMAINS)))
-    scale = 4.0 / (np.linalg.norm(x, 2) ** 2 / len(y))
+    scale = 4.0 / (np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 / len(y))
     for k in range(rounds):
         ahead = weights + 0.9 * speed
-        slope = x.T @ (_softmax(x @ ahead) - aim) / len(y) + 1e-4 * ahead
+        slope = x.T @ ((_softmax(x @ ahead) - aim) * weight[:, None]) / len(y) + 1e-4 * ahead
         speed = 0.9 * speed - 0.25 * scale * slope
         weights = weights + speed
     return Classifier(chosen, weights, share > 0)
@@ -133,12 +149,13 @@ def fit(buckets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, rounds: i
 
 @dataclass
 class Mix:
-    """What the solver learnt: the vector z, the totals reached, and the targets."""
+    """What the solver learnt: the vector z, the totals reached, the targets, and the domains that miss theirs."""
 
     model: Classifier | None
     z: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
     reached: np.ndarray | None = None
     targets: np.ndarray | None = None
+    missed: tuple[str, ...] = ()
 
 
 def rates(posteriors: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -153,8 +170,9 @@ def _posteriors(model: Classifier, piece: words.Piece) -> tuple[np.ndarray, np.n
 def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Mix:
     """Train the classifier and find the steps that bring the mix of ``docs`` to ``targets`` (shares of all tokens).
 
-    Ends when a step changes nothing, or after :data:`ROUNDS` rounds. A domain without a labelled example keeps the
-    tokens it has, and the others share the rest. Without labelled rows or without tokens every rate is 1.
+    Ends when every share is met to :data:`NEAR`, or after :data:`ROUNDS` rounds; a warning and ``missed`` then name the
+    domains that are not. A domain without a labelled example has no target, the others share what it does not hold.
+    Without labelled rows or without tokens every rate is 1.
     """
     targets = targets or TARGETS
     model = train(docs, labels)
@@ -170,39 +188,70 @@ def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
                                                  names=["n", *DOMAINS])
 
     scored = cut(docs.select("text").mapInArrow(score, "n long, " + ", ".join(f"{d} double" for d in DOMAINS)))
-    pairs = [f"{a}_{b}" for a in DOMAINS for b in DOMAINS]
+    columns = ["n", "square", *DOMAINS, *[f"{a}_{b}" for a in DOMAINS for b in DOMAINS]]
 
-    def totals(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Tokens, expected tokens by domain at the rates of ``z``, and the Gram matrix of the rows not at 0."""
+    def totals(tries: list[np.ndarray]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+        """At the rates of each z: tokens, squared rates, expected tokens by domain, Gram matrix of the rows not at 0."""
+        names = [f"{c}_{i}" for i in range(len(tries)) for c in columns]
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(tries), len(columns)))
             for batch in batches:
                 n, *p = (c.to_numpy() for c in batch.columns)
                 p = np.column_stack(p)
-                r = rates(p, z)
-                got, free = (n * r) @ p, (p * (n * (r > 0))[:, None]).T @ p
-                yield pa.RecordBatch.from_pydict(
-                    {c: [v] for c, v in zip(["n", *DOMAINS, *pairs], [float(n.sum()), *got, *free.ravel()], strict=True)})
+                for i, z in enumerate(tries):
+                    r = rates(p, z)
+                    free = (p * (n * (r > 0))[:, None]).T @ p
+                    sums[i] += [n.sum(), n @ r ** 2, *((n * r) @ p), *free.ravel()]
+            yield pa.RecordBatch.from_pydict({c: [v] for c, v in zip(names, sums.ravel(), strict=True)})
 
-        columns = ["n", *DOMAINS, *pairs]
-        parts = scored.mapInArrow(add, ", ".join(f"{c} double" for c in columns))
-        now = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in columns]).first()])
-        return now[0], now[1:k + 1], now[k + 1:].reshape(k, k)
+        parts = scored.mapInArrow(add, ", ".join(f"{c} double" for c in names))
+        got = np.array([float(x or 0) for x in parts.agg(*[F.sum(c) for c in names]).first()])
+        return [(t[0], t[1], t[2:k + 2], t[k + 2:].reshape(k, k)) for t in got.reshape(len(tries), -1)]
 
     mix = Mix(model)
-    n, now, gram = totals(mix.z)
+    seen = model.seen
+    start = totals([mix.z])[0]
+    n, _, now, _ = start
     if not n:
         return Mix(None)
-    wanted = np.array([targets[d] for d in DOMAINS]) * model.seen
-    mix.targets = np.where(model.seen, (n - now[~model.seen].sum()) * wanted / max(wanted.sum(), 1e-12), now)
-    for _ in range(ROUNDS):
-        mix.reached = now
-        slope = PENALTY * n * mix.z - (now - mix.targets)
-        step = np.linalg.solve(gram + PENALTY * n * np.eye(k), slope)
-        if np.abs(step).max() <= 1e-7:
-            break
-        mix.z = mix.z - step
-        _, now, gram = totals(mix.z)
+    wanted = np.array([targets[d] for d in DOMAINS]) * seen
+    mix.targets = np.where(seen, (n - now[~seen].sum()) * wanted / max(wanted.sum(), 1e-12), now)
+
+    def search(recentre: bool) -> bool:
+        """Go down from z = 0; the penalty is on leaving the last z, each round less, or else on leaving 0."""
+        mix.z, at, weight = np.zeros(k), start, PENALTY * n
+        value = at[1] / 2
+        for _ in range(ROUNDS):
+            mix.reached = at[2]
+            slope = np.where(seen, mix.targets - at[2] + (0 if recentre else weight * mix.z), 0)
+            if np.abs(slope).max() <= NEAR * n:
+                return True
+            step = np.linalg.solve(at[3] * np.outer(seen, seen) + weight * np.eye(k), slope)
+            tries = [mix.z - step * part for part in STEPS]
+            found = totals(tries)
+            values = [f[1] / 2 + mix.targets @ z + (0 if recentre else weight / 2 * (z @ z))
+                      for f, z in zip(found, tries, strict=True)]
+            best = int(np.argmin(values))
+            if values[best] < value:
+                mix.z, at, value = tries[best], found[best], values[best]
+                weight = weight / 4 if recentre else weight
+                if recentre and value < n / 2 * (1 - FAR ** 2):  # all rates that meet the targets are so far from 1
+                    return False
+            elif recentre:
+                weight *= 16
+            else:
+                break
+        mix.reached = at[2]
+        return False
+
+    if not search(recentre=True):
+        search(recentre=False)
+        off = np.abs(mix.reached - mix.targets) > NEAR * n
+        mix.missed = tuple(d for d, s, o in zip(DOMAINS, seen, off, strict=True) if s and o)
+        shares = [f"{d} {g / n:.4f} instead of {t / n:.4f}" for d, g, t in
+                  zip(DOMAINS, mix.reached, mix.targets, strict=True) if d in mix.missed]
+        warnings.warn("shares of tokens that no rates bring to their targets: " + ", ".join(shares), stacklevel=3)
     return mix
 
 
