@@ -1,13 +1,14 @@
 """Toxicity by compression distance (operator 10).
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Each is made of the letter sequences that
-are much more frequent in its class than in the other, followed by a common part trained on ordinary text, so that
-ordinary words compress alike. A window is a word with the spaces around it, after a lead-in that both dictionaries
+are much more frequent in its class than in the other, followed by a common part of the words that most ordinary texts
+share, so that ordinary words compress alike. A window is a word with the spaces around it, after a lead-in that both dictionaries
 hold: the lead-in makes the fixed bytes of a frame the same for both, and even a short match shows. Its distance is
 the bytes it takes with the ordinary dictionary less those it takes with the toxic one. A logistic curve over a few
 statistics of a text's distances, fitted on labelled texts that the dictionaries have not seen, gives the score.
 
-Only the text is used. Dictionaries and curve are fitted on a bounded sample of labelled rows.
+Only the text is used. Dictionaries and curve are fitted on a bounded sample of labelled rows, on their whole texts:
+tasks count sequences and words and measure texts, the driver sees counts, the sequences chosen and the statistics.
 """
 
 from __future__ import annotations
@@ -23,14 +24,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class used at most, drawn by the hash of their ids, and characters of each.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+from pitlane.session import cut
+
+#: Labelled rows of each class used at most, drawn by the hash of their ids.
+SAMPLE = 2500
 LEVEL, COMMON_BYTES, OWN_BYTES = 9, 1024, 3072
 LEAD_IN = b"<0123456789|ABCDEFGHIJKLMNOPQRSTUVWXYZ|~!@^&()_+{}:;?/,.=-0987654321>"
 #: Distances that a worker remembers, of words of up to so many bytes.
 REMEMBERED, SHORT = 200_000, 64
-#: Letters of a sequence; the share of a class's texts it must be in; how much more frequent it must be there.
-GRAM, SHARE, RATIO = 5, 0.02, 8
+#: Letters of a sequence; the texts of a class it must be in; how much more frequent it must be there; and a bound on the
+#: probability of such counts were it as frequent in both classes.
+GRAM, LEAST, RATIO, CHANCE = 5, 5, 8, 1e-5
+#: Counts that a task holds before it puts them out.
+HELD = 200_000
 THRESHOLD = 0.3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -39,24 +45,22 @@ def _words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().lower())
 
 
-def _grams(texts: list[list[bytes]]) -> Counter[bytes]:
-    """In how many texts each sequence within a word occurs; a word's ends count as spaces."""
-    seen: Counter[bytes] = Counter()
-    for words in texts:
-        padded = {b" " + w + b" " for w in words}
-        seen.update({w[i:i + GRAM] for w in padded for i in range(len(w) - GRAM + 1)})
-    return seen
+def _grams(words: list[bytes]) -> set[bytes]:
+    """The sequences within the words of a text; a word's ends count as spaces."""
+    return {w[i:i + GRAM] for w in {b" " + w + b" " for w in words} for i in range(len(w) - GRAM + 1)}
 
 
-def _frequent(own: Counter[bytes], n: int, other: Counter[bytes], m: int) -> set[bytes]:
-    return {g for g, k in own.items()
-            if k >= max(5, SHARE * n) and k * m > RATIO * (other[g] + 1) * n}
+def _frequent(own: Column, n: int, other: Column, m: int) -> Column:
+    """Whether a sequence in ``own`` of n texts of a class and ``other`` of m of the other one marks the first class."""
+    share, there = n / (n + m), own / (own + other)
+    apart = there * F.log(there / share) + F.when(other > 0, (1 - there) * F.log((1 - there) / (1 - share))).otherwise(0)
+    return (own >= LEAST) & (own * m > RATIO * (other + 1) * n) & ((own + other) * apart > float(-np.log(CHANCE)))
 
 
 def _marked(words: list[bytes], chosen: set[bytes]) -> bytes:
-    """The stretches of the words that chosen sequences cover, one after the other."""
+    """The different stretches of the words that chosen sequences cover, one after the other."""
     out = []
-    for w in words:
+    for w in dict.fromkeys(words):
         padded = b" " + w + b" "
         start = end = -1
         for i in range(len(padded) - GRAM + 1):
@@ -67,7 +71,7 @@ def _marked(words: list[bytes], chosen: set[bytes]) -> bytes:
                 start, end = (i if start < 0 else start), i + GRAM
         if start >= 0:
             out.append(padded[start:end])
-    return b"".join(out)
+    return b"".join(dict.fromkeys(out))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -133,26 +137,92 @@ def _measure(ordinary: bytes, toxic: bytes):
     return measure
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Detector:
-    """Two thirds of the texts make the dictionaries, every third one the curve; both classes in both parts."""
-    words = [_words(t) for t in texts]
-    turn = np.empty(len(texts), int)
+def _texts_with(rows: DataFrame, part: dict[int, tuple[int, bool]], found) -> DataFrame:
+    """item, ordinary, toxic: in how many learning texts of each class ``found`` has an item."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            items = list(seen[0].keys() | seen[1].keys())
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(items, pa.binary()), *[pa.array([c[i] for i in items], pa.int64()) for c in seen]],
+                names=["item", "ordinary", "toxic"])
+            for c in seen:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                label, learn = part.get(doc, (0, False))
+                if learn:
+                    seen[label].update(found(_words(text.as_py())))
+                    if len(seen[0]) + len(seen[1]) > HELD:
+                        yield out()
+        yield out()
+
+    return rows.select("doc_id", "text").mapInArrow(count, "item binary, ordinary long, toxic long").groupBy("item").agg(
+        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def _per_text(rows: DataFrame, wanted: set[int], make, kind: str, arrow: pa.DataType) -> dict[int, object]:
+    """By id, in their order, what ``make()`` gives for the words of each wanted text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = make()
+        for batch in batches:
+            got = [(doc, value(_words(text.as_py()))) for doc, text in
+                   zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if doc in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()),
+                                              pa.array([v for _, v in got], arrow)], names=["doc_id", "value"])
+
+    table = rows.select("doc_id", "text").mapInArrow(run, f"doc_id long, value {kind}").toArrow()
+    return dict(sorted(zip(*[c.to_pylist() for c in table.columns], strict=True)))
+
+
+def _common(texts_with: DataFrame) -> bytes:
+    """The words that ordinary texts share most, by the bytes they stand for, until the common part is full."""
+    worth = F.col("ordinary") * F.length("item")
+    top = texts_with.where("ordinary > 0").where(F.length("item").between(2, SHORT)).orderBy(worth.desc(), "item").limit(
+        COMMON_BYTES).select("item").toArrow()  # a word a byte at most
+    out = b" "
+    for word in top.column(0).to_pylist():
+        if b" " + word + b" " not in out and len(out) + len(word) < COMMON_BYTES:
+            out += word + b" "
+    return out
+
+
+def fit(rows: DataFrame, prior: float) -> Detector:
+    """Fit on stored ``rows`` (doc_id, toxic, text), an id once. Of texts that are the same the first id's counts. Two
+    thirds of the texts make the dictionaries, every third one the curve; both classes in both parts."""
+    ids = rows.select("doc_id", "toxic", F.sha2("text", 256).alias("hash")).toPandas().sort_values("doc_id")
+    ids = ids.drop_duplicates("hash")
+    doc, toxic = ids["doc_id"].to_numpy(), ids["toxic"].to_numpy()
+    turn = np.empty(len(ids), int)
     for label in (0, 1):
         turn[toxic == label] = np.arange((toxic == label).sum())
     learn = turn % 3 > 0
-    parts = [[w for w, t, b in zip(words, toxic, learn, strict=True) if b and t == label] for label in (0, 1)]
-    held = np.flatnonzero(~learn)
-    if min(map(len, parts)) < 5 or len(set(toxic[held].tolist())) < 2:
+    sizes = [int((learn & (toxic == label)).sum()) for label in (0, 1)]
+    y = toxic[~learn]
+    if min(sizes) < 5 or len(set(y.tolist())) < 2:
         return Detector(b"", b"", None, prior)
-    seen = [_grams(p) for p in parts]
-    common = _dictionary([b" ".join(w)[:4000] for w in parts[0]], COMMON_BYTES)
+    part = {int(d): (int(t), bool(b)) for d, t, b in zip(doc, toxic, learn, strict=True)}
+    common = _common(_texts_with(rows, part, set))
+    a, b = F.col("ordinary"), F.col("toxic")
+    marks = (_frequent(a, sizes[0], b, sizes[1]), _frequent(b, sizes[1], a, sizes[0]))
+    frequent = _texts_with(rows, part, _grams).withColumn("label", F.when(marks[0], 0).when(marks[1], 1)).where(
+        "label IS NOT NULL").select("item", "label").toArrow()
+    chosen: tuple[set[bytes], set[bytes]] = (set(), set())
+    for item, label in zip(*[c.to_pylist() for c in frequent.columns], strict=True):
+        chosen[label].add(item)
     own = []
-    for a in (0, 1):
-        chosen = _frequent(seen[a], len(parts[a]), seen[1 - a], len(parts[1 - a]))
-        own.append(_dictionary([_marked(w, chosen) for w in parts[a]], OWN_BYTES))
-    measure = _measure(own[0] + common, own[1] + common)
-    x = np.array([measure(words[i]) for i in held])
-    y = toxic[held]
+    for label in (0, 1):
+        texts = {d for d, (t, used) in part.items() if used and t == label}
+        own.append(_dictionary(list(_per_text(rows, texts, lambda c=chosen[label]: lambda w: _marked(w, c), "binary",
+                                              pa.binary()).values()), OWN_BYTES))
+    held = {d for d, (_, used) in part.items() if not used}
+    found = _per_text(rows, held, lambda: _measure(own[0] + common, own[1] + common), "array<double>", pa.list_(pa.float64()))
+    x = np.array([found[d] for d in doc[~learn].tolist()])
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
@@ -170,7 +240,7 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Detector:
-    """Fit on at most :data:`SAMPLE` rows of each class, none of them held out. Rows without an id or label are not
+    """Fit on at most :data:`SAMPLE` rows of each class, whole texts, none of them held out. Rows without an id or label are not
     used; an id with both labels counts as toxic."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
@@ -181,10 +251,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Detector:
     order = F.xxhash64("doc_id")
     drawn = marks.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE).unionAll(
         marks.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE))
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select(  # at most twice SAMPLE rows
-        "doc_id", "toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").drop_duplicates("text")
-    return fit(list(rows["text"]), rows["toxic"].to_numpy(), prior)
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # at most twice SAMPLE rows
+    return fit(cut(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

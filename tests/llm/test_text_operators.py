@@ -330,6 +330,21 @@ def test_toxicity_held_out(spark):
     assert len(held) > 150 and right / len(held) > 0.9
 
 
+def test_toxicity_learns_beyond_a_prefix(spark):
+    """The toxic words of long texts stand after 24,000 characters of ordinary ones."""
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(160):
+        bad = [rng.choice(["worthless", "pathetic", "disgusting", "idiotic"]) for _ in range(6)] if i % 4 == 0 else []
+        text = sentence(rng, 5000)
+        rows.append((i, text + " " + " ".join(bad)))
+        assert len(text) > 20_000
+        marks.append((i, int(i % 4 == 0)))
+    got = by_id(toxicity.score(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")))
+    held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 160]
+    assert held and sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.9
+
+
 def test_html(spark):
     page = ("<html><head><title>no</title><style>p{}</style><script>var t='</p>';</script></head><body class='has-sidebar'>"
             "<header>Site</header><nav><ul><li><a href=/x>Menu one</a></li></ul></nav><div class=\"ad\">Buy &amp; save now</div>"
