@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlane.llm import class_lm, decontam, html_text, licenses, mixing, near_dup, quality, secrets, sql, token_files, toxicity
+from pitlane.llm import (
+    bpe, class_lm, decontam, fim, html_text, licenses, mixing, near_dup, quality, secrets, sql, token_files, toxicity, whitening,
+)
 from pitlane.llm.tables import bounded_batches, table
 
 
@@ -20,6 +22,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranks() -> tuple[str, str]:
+    """The file of merge ranks (``PITLANE_RANKS``, or a public one) and the pattern that splits text before them."""
+    import public_tokenizers
+
+    return (os.environ.get("PITLANE_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+            public_tokenizers.PATTERN)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents", "doc_id", "text"),
                            table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -66,6 +76,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                           table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents", "doc_id", "text"), *ranks())
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -85,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": _bounded(op8_near_duplicates),
     "op9_token_files": _bounded(op9_token_files),
     "op10_toxicity": _bounded(op10_toxicity),
+    "op11_fill_in_middle": _bounded(op11_fill_in_middle),
+    "op12_whitening": op12_whitening,
+    "op13_byte_bpe": _bounded(op13_byte_bpe),
 }
 
 SQL: dict[str, str] = {
@@ -92,4 +117,5 @@ SQL: dict[str, str] = {
     "op2_secrets": sql.SECRETS,
     "op7_quality_rules": sql.QUALITY,
     "op8_near_duplicates": sql.NEAR_DUPLICATES,
+    "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
 }

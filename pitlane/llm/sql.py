@@ -86,3 +86,19 @@ WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents
  c AS (SELECT doc, MIN(other) AS component_id FROM reach GROUP BY doc)
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c ON c.doc = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+FILL_IN_MIDDLE = r"""
+WITH u AS (SELECT doc_id, COALESCE(text, '') AS t, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS units,
+  SHA256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+ d AS (SELECT doc_id, t, units, LEN(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (LEN(units) + 1) AS c1,
+  CAST('0x' || h[9:16] AS BIGINT) % (LEN(units) + 1) AS c2, CASE WHEN h IS NULL OR t = '' OR CONTAINS(t, '<P>')
+   OR CONTAINS(t, '<S>') OR CONTAINS(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+   WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, t, n, form, ARRAY_TO_STRING(units[1:LEAST(c1, c2)], '') AS pre,
+  ARRAY_TO_STRING(units[LEAST(c1, c2) + 1:GREATEST(c1, c2)], '') AS mid,
+  ARRAY_TO_STRING(units[GREATEST(c1, c2) + 1:n], '') AS suf FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(LENGTH(pre) AS BIGINT) END AS prefix_chars,
+ CASE WHEN form <> 'plain' THEN CAST(LENGTH(mid) AS BIGINT) END AS middle_chars,
+ SHA256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+  WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, SHA256(t) AS restored_sha256
+FROM p"""
