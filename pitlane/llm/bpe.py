@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens in each of a worker's two generations of memory, and the longest of them in characters; others are merged
 #: each time they occur.
-REMEMBERED, SHORT = 1 << 17, 48
+REMEMBERED, SHORT = 1 << 19, 48
 #: Longest text, in characters, whose pre-tokens are listed at once; pre-tokens in a run of a longer one; ids that leave
 #: a task at once.
 LISTED, RUN, PIECE = 1 << 18, 1 << 16, 1 << 20
@@ -36,47 +36,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions by rank: the lowest rank comes first, and of a rank the leftmost position.
-
-    ``words`` has a bit per rank, in words of 2^WORD bits, and ``top`` a bit per word that is not zero.
-    """
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.words = [0] * ((ranks >> WORD) + 1)
-        self.top = 0
-        self.bits = [1 << i for i in range(max(1 << WORD, len(self.words)))]
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        bucket.append(position)
-        at = rank >> WORD
-        if not self.words[at]:
-            self.top |= self.bits[at]
-        self.words[at] |= self.bits[rank & (1 << WORD) - 1]
-
-    def pop(self) -> tuple[int, int] | None:
-        """The next rank and position, or None when nothing waits."""
-        top = self.top
-        if not top:
-            return None
-        at = (top & -top).bit_length() - 1
-        word = self.words[at]
-        low = word & -word
-        rank = (at << WORD) + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        self.words[at] = word = word ^ low
-        if not word:
-            self.top ^= self.bits[at]
-        return rank, bucket.pop()
-
-
 class _Memory(dict):
     """Ids of pre-tokens as bytes. Full, it becomes the old generation; what is asked for again is taken over from
     there, so frequent pre-tokens stay."""
@@ -98,7 +57,12 @@ class _Memory(dict):
 
 
 class ByteBpe:
-    """A vocabulary with its merges."""
+    """A vocabulary with its merges.
+
+    The queue of a merge: ``buckets`` has a heap of positions per rank, ``words`` a bit per rank in words of 2^WORD
+    bits, and a last word has a bit per word that is not zero. All are empty again when a merge ends. The queue is
+    worked in place, since a call for every entry would take as long as the entry itself.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -109,7 +73,12 @@ class ByteBpe:
         #: Every split of a token into two tokens: as many entries as the vocabulary has such splits.
         self.pairs = {(left, right): rank for token, rank in ranks.items() for i in range(1, len(token))
                       if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.words = [0] * ((size >> WORD) + 1)
+        self.bits = [1 << i for i in range(max(1 << WORD, len(self.words)))]
+        self.word = [rank >> WORD for rank in range(size)]
+        self.bit = [self.bits[rank & (1 << WORD) - 1] for rank in range(size)]
         self.pattern = regex.compile(pattern)
         self.memory = _Memory(self.merge)
 
@@ -117,15 +86,29 @@ class ByteBpe:
         """The ids of one pre-token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        pair, push, pop = self.pairs.get, self.queue.push, self.queue.pop
+        pair, buckets, words, bits, word, bit = self.pairs.get, self.buckets, self.words, self.bits, self.word, self.bit
         ids = [self.byte[b] for b in piece]
         n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i, both in enumerate(pairwise(ids)):
-            if (rank := pair(both)) is not None:
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, i = found
+        top = 0
+        for i, rank in enumerate(map(pair, pairwise(ids))):
+            if rank is not None:
+                buckets[rank].append(i)
+                words[word[rank]] |= bit[rank]
+                top |= bits[word[rank]]
+        while top:
+            # Find-first-set: the lowest word in use, its lowest rank, and of that the leftmost position.
+            at = (top & -top).bit_length() - 1
+            low = words[at] & -words[at]
+            rank = (at << WORD) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[at] ^= low
+                if not words[at]:
+                    top ^= bits[at]
             j = right[i]
             if j >= n or pair((ids[i], ids[j])) != rank:
                 continue
@@ -134,9 +117,13 @@ class ByteBpe:
             if k < n:
                 left[k] = i
                 if (after := pair((rank, ids[k]))) is not None:
-                    push(after, i)
+                    heappush(buckets[after], i)
+                    words[word[after]] |= bit[after]
+                    top |= bits[word[after]]
             if (p := left[i]) >= 0 and (before := pair((ids[p], rank))) is not None:
-                push(before, p)
+                heappush(buckets[before], p)
+                words[word[before]] |= bit[before]
+                top |= bits[word[before]]
         return [t for t in ids if t >= 0]
 
     def _runs(self, text: str) -> Iterator[list[str]]:

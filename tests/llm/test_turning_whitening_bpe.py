@@ -213,7 +213,7 @@ def test_merges_of_any_vocabulary():
             if piece not in table:
                 assert own.merge(piece) == merged(piece, table)
                 assert own.decode(own.merge(piece)) == piece
-        assert own.queue.pop() is None and not own.queue.top and not any(own.queue.words)
+        assert not any(own.words) and not any(own.buckets)
 
 
 def test_memory_keeps_frequent_pretokens(vocabularies):
