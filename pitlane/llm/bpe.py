@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model((ranks_path, pattern), shared.value, pattern)
         for batch in batches:
-            data = [bpe.decode(ids.values.to_pylist()) if ids.is_valid else None for ids in batch.column(1)]
+            data = [bpe.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(turn, "doc_id long, ids array<int>, data binary")
