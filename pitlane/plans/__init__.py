@@ -4,5 +4,6 @@
 def load_all() -> None:
     """Import every module that registers queries."""
     from pitlane.plans import (  # noqa: F401
-        queries_books, queries_files, queries_joins, queries_models, queries_panel, queries_signals, queries_sources,
+        queries_ablation, queries_books, queries_files, queries_joins, queries_models, queries_panel, queries_signals,
+        queries_sources,
     )

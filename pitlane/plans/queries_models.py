@@ -112,14 +112,30 @@ def ridge_placebo_error(t: Tables) -> DataFrame:
     return valuation_error(cut(scores))
 
 
-TREE_FEATURES = ("revenue", "gp", "netinc", "assets", "roe", "grossmargin")
+def tree_panel(t: Tables) -> DataFrame:
+    return cut(panel(t, "mb", sectors=sector_codes(t.tickers)))
 
 
 @query("tree_scores", "I2 I3 I6")
 def tree_scores(t: Tables) -> DataFrame:
-    rows = cut(panel(t, "mb", sectors=sector_codes(t.tickers)))
-    return expanding_trees(
-        rows, TREE_FEATURES, target="mb", burn_in=BURN_IN, industry=True, refit_every=30, n_trees=5, depth=3)
+    return expanding_trees(tree_panel(t), target="mb", burn_in=BURN_IN, industry=True)
+
+
+@query(
+    "tree_score_dates", "I2 I6",
+    with_ctes(
+        "enough",
+        body=f"""SELECT date, COUNT(*) AS n_scores, TRUE AS zero_mean FROM (
+ SELECT date, n, DENSE_RANK() OVER (ORDER BY date) - 1 AS section FROM (
+ SELECT e.*, COUNT(*) OVER (PARTITION BY date) AS n FROM enough e WHERE equity > 0) c WHERE n >= {MIN_NAMES}) d
+ WHERE section >= {BURN_IN} GROUP BY date""",
+    ),
+)
+def tree_score_dates(t: Tables) -> DataFrame:
+    """Scores per date: every name of a scored month has one, their mean is zero, and the burn-in has none."""
+    scores = tree_scores(t)
+    return scores.groupBy("date").agg(
+        F.count("score").alias("n_scores"), (F.abs(F.avg("score")) < 1e-6).alias("zero_mean"))
 
 
 @query("return_prediction_size", "D37 I4")

@@ -17,7 +17,7 @@ from pitlane.operators.inference import deflate, other_windows, trial_sharpes, v
 from pitlane.operators.metrics import (
     METRICS, drawdown, fill_stats, growth, metrics_long, paired_returns, returns, run_metrics, summary_text,
 )
-from pitlane.operators.models import ablation, section_index
+from pitlane.operators.models import section_index
 from pitlane.operators.ranks import exact_median
 from pitlane.operators.signals import (
     decile_spread, diagnose, newey_west, prediction_size, rank_ic, rolling_mean_ic, score_returns, signal_months,
@@ -165,26 +165,6 @@ def median_volume(t: Tables) -> DataFrame:
     return rounded(exact_median(t.bars.select("ticker", "volume"), ["ticker"], "volume"), "median")
 
 
-@query(
-    "signal_cells", "I7 A30 G4",
-    with_ctes(
-        "months", "pairs",
-        body=f"""WITH p2 AS (SELECT ticker, date, -score AS score, ret FROM pairs),
- r AS (SELECT date, ret, RANK() OVER (PARTITION BY date ORDER BY score) + (COUNT(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS rs,
- RANK() OVER (PARTITION BY date ORDER BY ret) + (COUNT(*) OVER (PARTITION BY date, ret) - 1) / 2.0 AS rr FROM p2),
- m2 AS (SELECT date, COVAR_SAMP(rs, rr) / NULLIF(STDDEV_SAMP(rs) * STDDEV_SAMP(rr), 0) AS rank_ic FROM r GROUP BY date HAVING COUNT(*) >= {MIN_NAMES})
- SELECT 'plain' AS cell, COUNT(*) AS n_months, {r6('AVG(rank_ic)')} AS mean_ic, {r6(nw_sql('months', 'rank_ic'))} AS ic_t FROM months
- UNION ALL SELECT 'reversed', COUNT(*), {r6('AVG(rank_ic)')}, {r6(nw_sql('m2', 'rank_ic'))} FROM m2""",
-    ),
-)
-def signal_cells(t: Tables) -> DataFrame:
-    cells = ablation({"plain": t.scores, "reversed": t.scores.withColumn("score", -F.col("score"))})
-    paired = cut(score_returns(cells, t.bars, by=["cell"]).select("cell", "ticker", "date", "score", "ret"))
-    by_month = signal_months(paired, by=["cell", "date"], min_names=MIN_NAMES)
-    out = signal_summary(cut(by_month), by=["cell"]).select("cell", "n_months", "mean_ic", "ic_t")
-    return rounded(out, "mean_ic", "ic_t")
-
-
 # Holdings of the top-K book.
 
 

@@ -1,14 +1,16 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitlane.operators.boosting import best_split
 from pitlane.operators.models import (
-    design_vectors, emit_scores, expanding_ridge, expanding_trees, one_feature_ridge, placebo_labels,
+    ablated_scores, boosted_scores, design_vectors, emit_scores, expanding_ridge, expanding_trees, one_feature_ridge, placebo_labels,
     ridge_coefficients, ridge_predictions, score_partition, tree_inputs,
 )
-from pitlane.operators.panel import FEATURES
+from pitlane.operators.panel import FEATURES, scale_by_assets
 from tests.helpers import day, frame
 
 NAMES = [f"S{i}" for i in range(8)]
@@ -102,16 +104,141 @@ def test_few_sections_and_bad_config(spark):
 
 def test_trees_score_later_months_only(spark):
     panel = _planted(spark).withColumn("industry", F.when(F.col("ticker") < "S4", 0).otherwise(1))
-    out = expanding_trees(panel, ["x1", "x2"], burn_in=5, industry=True, refit_every=2, n_trees=30, depth=3)
+    out = expanding_trees(panel, ["x1", "x2"], burn_in=5, industry=True, refit_every=2, n_trees=30, depth=3, least=1)
     last = out.where(F.col("date") == "2020-07-28").orderBy(F.col("score").desc()).collect()
     assert out.count() == 16 and "S3" in [r["ticker"] for r in last[:2]] and max(r["score"] for r in last if r["ticker"] == "S3") > 0.3
 
 
-def test_tree_inputs_flag_missing(spark):
+def test_tree_inputs_keep_missing(spark):
     cols = ", ".join(f"{c} double" for c in FEATURES)
     values = {"revenue": 50.0, "assets": 200.0}
     df = frame(spark, [(day("2020-01-31"), "A", 0.1, *[values.get(c) for c in FEATURES])],
                f"date date, ticker string, target double, {cols}")
     rows, names = tree_inputs(df, scaled=True)
     r = rows.first()
-    assert r["revenue"] == 0.25 and r["gp"] == 0.0 and r["gp_missing"] == 1.0 and len(names) == 94
+    assert r["revenue"] == 0.25 and r["gp"] is None and names == list(FEATURES)
+
+
+def plain_boosting(train, test, edges, n_trees, depth, rate, least):
+    """Trees by trying every split on every row, features in order, missing left last; numeric but for the last one."""
+    d = len(train[0][0])
+
+    def code(v, f):
+        return 0 if v is None else (int(v) + 1 if f == d - 1 else 1 + sum(e < v for e in edges[f]))
+
+    rows = [([code(v, f) for f, v in enumerate(x)], y) for x, y in train]
+    told = [[code(v, f) for f, v in enumerate(x)] for x in test]
+    base = sum(y for _, y in rows) / len(rows)
+    fit, out = [base] * len(rows), [base] * len(told)
+
+    def split(own, rest):
+        whole, best = sum(rest[i] for i in own), (1e-12, None)
+        for f in range(d):
+            codes = sorted({rows[i][0][f] for i in own} - {0})
+            mean = {c: np.mean([rest[i] for i in own if rows[i][0][f] == c]) for c in codes}
+            if f == d - 1:
+                codes.sort(key=lambda c: (mean[c], c))
+            for missing in (False, True):
+                for k in range(1, len(codes) + 1):
+                    goes = set(codes[:k]) | ({0} if missing else set())
+                    left = [i for i in own if rows[i][0][f] in goes]
+                    n, m = len(left), len(own) - len(left)
+                    if n < least or m < least:
+                        continue
+                    part = sum(rest[i] for i in left)
+                    gain = part ** 2 / n + (whole - part) ** 2 / m - whole ** 2 / len(own)
+                    if gain > best[0] * (1 + 1e-9):
+                        best = (gain, (f, codes[k - 1], goes, codes))
+        return best[1]
+
+    def grow(own, there, level, rest):
+        if level == depth:
+            value = rate * (sum(rest[i] for i in own) / len(own) if own else 0.0)
+            for i in own:
+                fit[i] += value
+            for i in there:
+                out[i] += value
+            return
+        found = split(own, rest) if own else None
+        if found is None:
+            grow(own, there, level + 1, rest)
+            return
+        f, edge, goes, codes = found
+
+        def lower(c):
+            # A numeric code that no row here has lies below the edge or above it; an unseen nominal one goes right.
+            return c in goes if c == 0 or f == d - 1 else c <= edge
+
+        grow([i for i in own if lower(rows[i][0][f])], [i for i in there if lower(told[i][f])], level + 1, rest)
+        grow([i for i in own if not lower(rows[i][0][f])], [i for i in there if not lower(told[i][f])], level + 1, rest)
+
+    for _ in range(n_trees):
+        rest = [y - g for (_, y), g in zip(rows, fit, strict=True)]
+        grow(list(range(len(rows))), list(range(len(told))), 0, rest)
+    return out
+
+
+def test_trees_of_all_months_against_plain_boosting(spark):
+    rng = random.Random(4)
+    rows = []
+    for m in range(9):
+        for i in range(25):
+            a = rng.choice([None, *range(9)])
+            b, sector = rng.choice([rng.random(), None]), rng.choice([None, 0, 1, 2, 3])
+            y = (a or 4) * 0.3 + (sector or 0) % 2 * 2.0 + (b or 0.7) + rng.gauss(0, 0.3)
+            rows.append((day(f"2020-{m + 1:02d}-28"), f"S{i:02d}", None if rng.random() < 0.05 else y,
+                         None if a is None else float(a), b, None if sector is None else float(sector)))
+    panel = frame(spark, rows, "date date, ticker string, target double, a double, b double, s double").repartition(5)
+    got = boosted_scores({"one": panel, "two": panel.where("date < '2020-08-01'")}, ["a", "b"], ["s"], burn_in=4,
+                         n_trees=4, depth=2, rate=0.5, least=3, bins=6)
+    found = {(r.cell, r.date, r.ticker): r.predicted for r in got.collect()}
+    dates = sorted({r[0] for r in rows})
+    early = [r for r in rows if r[0] in dates[:4] and r[2] is not None]
+    edges = []
+    for f in (3, 4):
+        known = sorted(r[f] for r in early if r[f] is not None)
+        edges.append(sorted({known[max(0, math.ceil(len(known) * k / 5) - 1)] for k in range(1, 5)}))
+    assert len(found) == 25 * (5 + 3)
+    for at in range(4, 9):
+        train = [(r[3:], r[2]) for r in rows if r[0] < dates[at] and r[2] is not None]
+        test = [r for r in rows if r[0] == dates[at]]
+        want = plain_boosting(train, [r[3:] for r in test], edges, 4, 2, 0.5, 3)
+        for r, w in zip(test, want, strict=True):
+            for cell in ("one", "two") if at < 7 else ("one",):
+                assert found[cell, r[0], r[1]] == pytest.approx(w, rel=1e-9, abs=1e-9)
+
+
+def test_splits_put_missing_and_nominal_bins_where_they_fit():
+    total, count = np.array([[9.0, 0, 0, 9]]), np.array([[3.0, 3, 3, 3]])
+    feature, goes, low, high = best_split(total, count, [False], 1)
+    assert (feature, goes.tolist(), low, high) == (0, [False, True, True, False], 0.0, 3.0)
+    total = np.array([[0.0, 9, 0, 9]])
+    assert best_split(total, count, [True], 1)[1].tolist() in ([True, False, True, False], [False, False, True, False])
+    assert best_split(total, count, [True], 7)[1].tolist() == [True] * 4
+
+
+def test_ablation_cells_are_the_single_fits(spark):
+    rng = random.Random(8)
+    rows = [(day(f"2020-{m + 1:02d}-28"), f"S{i}", rng.random(), float(rng.randint(1, 50)), float(rng.randint(1, 9)), rng.random())
+            for m in range(8) for i in range(12)]
+    names = [f for f in FEATURES if f not in ("revenue", "assets", "roe")]
+    blank = [f"CAST(NULL AS DOUBLE) AS {f}" for f in names]
+    panel = frame(spark, rows, "date date, ticker string, target double, revenue double, assets double, roe double").selectExpr("*", *blank)
+    other = panel.withColumn("target", F.col("target") * F.col("roe")).where("ticker <> 'S3'")
+    used = ["revenue", "assets", "roe"]
+    got = {}
+    for r in ablated_scores({"cap": panel, "mb": other}, used, model="ridge", burn_in=4).collect():
+        got.setdefault(r.cell, {})[r.date, r.ticker] = r.score
+    assert set(got) == {"cap+raw", "cap+scaled", "mb+raw", "mb+scaled"} and got["cap+raw"] != got["cap+scaled"]
+    for cell, table, target in (("cap+raw", panel, "cap"), ("mb+scaled", scale_by_assets(other), "mb")):
+        want = {(r.date, r.ticker): r.score for r in expanding_ridge(table, used, target=target, burn_in=4).collect()}
+        assert got[cell] == want
+    trees = ablated_scores({"cap": panel}, used, burn_in=4, n_trees=2, depth=2, least=2)
+    raw = {(r.date, r.ticker): r.score for r in trees.where("cell = 'cap+raw'").collect()}
+    assert raw == {(r.date, r.ticker): r.score for r in
+                   expanding_trees(panel, used, burn_in=4, n_trees=2, depth=2, least=2).collect()}
+    for bad in (dict(model="x"), dict(burn_in=0)):
+        with pytest.raises(ValueError):
+            ablated_scores({"cap": panel}, used, **bad)
+    with pytest.raises(ValueError):
+        ablated_scores({"ret": panel}, used)
