@@ -1,8 +1,8 @@
-"""Return windows, covariance matrices and the long-only weights that use them.
+"""Return windows, and the matrices and weights of the cost-aware book.
 
-A matrix belongs to one rebalance of one basket. Its task sees one row per
-basket name, each with an array of ``lookback`` returns: a size set by the
-parameters, not by the data.
+A matrix belongs to one rebalance of one book. Its task sees one row per
+selected name, each with an array of ``lookback`` returns: a size set by the
+parameters, not by the data. Baskets of any size are in :mod:`pitlane.operators.frontier`.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pitlane.operators.asof import asof_join
 from pitlane.operators.ordered import row_index
 
-MODES = ("min_var", "mean_var")
 MAX_ITERATIONS = 5_000
 SOLVER_TOLERANCE = 1e-10
 TRADING_DAYS = 252.0
@@ -80,11 +79,6 @@ def covariance_rows(windows: DataFrame, *, ridge: float = 0.0, scale: float = 1.
     return windows.groupBy("run_id", "date").applyInPandas(matrix, schema)
 
 
-def covariance_long(rows: DataFrame) -> DataFrame:
-    """``(run_id, date, i, j, cov)`` for ``i <= j``."""
-    return rows.select("run_id", "date", F.col("pos").alias("i"), F.posexplode("cov").alias("j", "cov")).where("i <= j")
-
-
 def project_capped_simplex(v: np.ndarray, upper: float) -> np.ndarray:
     """Nearest point with entries in ``[0, upper]`` that sum to 1.
 
@@ -138,50 +132,6 @@ def cut_weights(w: np.ndarray) -> np.ndarray:
     return np.floor(kept / total * 1e6) / 1e6
 
 
-def mean_variance_weights(
-    windows: DataFrame, *, mode: str = "min_var", risk_aversion: float = 1.0, ridge: float = 1e-6
-) -> DataFrame:
-    """Minimum-variance or mean-variance weights per rebalance, long only, summing to 1."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    if risk_aversion < 0 or ridge < 0:
-        raise ValueError("risk_aversion and ridge must be >= 0")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        cov = np.array(pdf["cov"].tolist(), dtype=np.float64)
-        mu = pdf["mu"].to_numpy()
-        w = solve_long_only(cov, np.zeros(len(mu))) if mode == "min_var" else solve_long_only(risk_aversion * cov, mu)
-        out = pdf[["run_id", "date", "ticker"]]
-        return out.iloc[:0].assign(weight=pd.Series(dtype="float64")) if w is None else out.assign(weight=cut_weights(w))
-
-    rows = covariance_rows(windows, ridge=ridge)
-    return rows.groupBy("run_id", "date").applyInPandas(solve, "run_id string, date date, ticker string, weight double")
-
-
-def optimality(rows: DataFrame, weights: DataFrame, *, tolerance: float = 5e-3) -> DataFrame:
-    """Status of every minimum-variance solve: did it converge, and do its weights meet the conditions of the optimum?
-
-    The variance less the smallest product of a covariance row with the weights bounds how far the variance is above
-    its minimum. ``tolerance`` is relative to the variance; weights are cut to six digits. ``rows`` are
-    :func:`covariance_rows`, ``weights`` those of :func:`mean_variance_weights`; a solve without weights has a row too.
-    """
-    held = rows.select("run_id", "date", "ticker", "pos", "cov").join(weights, ["run_id", "date", "ticker"], "left")
-    book = held.where(F.col("weight").isNotNull()).groupBy("run_id", "date").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "weight"))), lambda s: s["weight"]).alias("w"))
-    products = F.zip_with("cov", "w", lambda c, w: c * w)
-    slopes = held.join(book, ["run_id", "date"], "left").withColumn(
-        "slope", F.aggregate(products, F.lit(0.0), lambda a, x: a + x))
-    per = slopes.groupBy("run_id", "date").agg(
-        F.count("*").alias("n_names"), F.count("weight").alias("n"), F.sum("weight").alias("total"), F.min("weight").alias("low"),
-        F.sum(F.col("weight") * F.col("slope")).alias("variance"), F.min("slope").alias("least"))
-    met = F.col("least") >= F.col("variance") * (1 - tolerance)
-    return per.select(
-        "run_id", "date", "n_names", (F.col("n") == F.col("n_names")).alias("converged"),
-        F.coalesce(F.abs(F.col("total") - 1) <= 1e-4, F.lit(False)).alias("sums_to_one"),
-        F.coalesce(F.col("low") >= 0, F.lit(False)).alias("long_only"), F.coalesce(met, F.lit(False)).alias("optimal"))
-
-
 def expected_returns(selected: DataFrame, *, by: tuple[str, ...] = ("run_id", "date")) -> DataFrame:
     """Scores as expected returns: population z-score inside the selection, times a fixed scale; flat gives 0."""
     stats = selected.groupBy(*by).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_sd"))

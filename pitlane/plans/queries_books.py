@@ -12,12 +12,13 @@ from pitlane.operators.book import (
     simulate,
 )
 from pitlane.operators.covariance import (
-    cost_aware_inputs, covariance_long, covariance_rows, expected_returns, mean_variance_weights, optimality, return_windows,
+    cost_aware_inputs, expected_returns, return_windows,
 )
 from pitlane.operators.evaluation import metric_spread, rolling_windows
+from pitlane.operators.frontier import basket_status, covariance_pairs, mean_variance_weights
 from pitlane.operators.holdings import effective_holdings, scores_at, top_scored
 from pitlane.operators.metrics import run_metrics
-from pitlane.operators.universe import members_on
+from pitlane.operators.universe import keep_members, members_on
 from pitlane.operators.weights import (
     bad_weights, buy_and_hold, equal_weight, every_nth, momentum_at, momentum_table, momentum_weights, run_timeline,
     score_equal, score_proportional, trades,
@@ -234,24 +235,25 @@ def rebalance_trades(t: Tables) -> DataFrame:
     return rounded(trades(targets, held, equity, closes, min_notional=500.0), "qty")
 
 
-# Return windows and covariance on monthly closes, for the basket of the first names.
+# Return windows and covariance on monthly closes, for each month's members.
 
 
 def month_bars(t: Tables) -> DataFrame:
     return t.monthly.select("ticker", F.col("month").alias("date"), "close")
 
 
-BASKET = tuple(f"S{i}" for i in range(10))
 _WIN = f"""SELECT ticker, date, rets FROM (SELECT ticker, month AS date,
  LIST(r) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS rets, COUNT(r) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS n
  FROM (SELECT ticker, month, close / LAG(close) OVER (PARTITION BY ticker ORDER BY month) - 1 AS r FROM monthly) q) z WHERE n = 12"""
 
 
+_MEMBER_WIN = f"""SELECT x.* FROM ({_WIN}) x WHERE EXISTS (SELECT 1 FROM members m WHERE m.ticker = x.ticker
+ AND m.start_date <= x.date AND (m.end_date IS NULL OR x.date <= m.end_date))"""
+
+
 def basket_windows(t: Tables) -> DataFrame:
-    keys = t.monthly.where(F.col("ticker").isin(*BASKET)).select(
-        F.lit("B").alias("run_id"), F.col("month").alias("date"), "ticker"
-    )
-    return return_windows(keys, month_bars(t), lookback=12)
+    keys = t.monthly.select(F.lit("B").alias("run_id"), F.col("month").alias("date"), "ticker")
+    return cut(return_windows(keep_members(keys, t.members), month_bars(t), lookback=12))
 
 
 @query(
@@ -272,8 +274,8 @@ def return_windows_query(t: Tables) -> DataFrame:
 @query(
     "covariance", "D40 C18 D4",
     with_ctes(
-        "monthly",
-        body=f"""WITH w AS (SELECT * FROM ({_WIN}) x WHERE ticker IN {BASKET}),
+        "monthly", "members",
+        body=f"""WITH w AS ({_MEMBER_WIN}),
  p AS (SELECT date, ticker, ROW_NUMBER() OVER (PARTITION BY date ORDER BY ticker) - 1 AS pos, COUNT(*) OVER (PARTITION BY date) AS n, rets FROM w),
  l AS (SELECT date, pos, n, k, rets[k] AS r FROM p, range(1, 13) g(k))
  SELECT 'B' AS run_id, a.date, a.pos AS i, CAST(b.pos AS INTEGER) AS j, {r6('COVAR_SAMP(a.r, b.r) + CASE WHEN a.pos = b.pos THEN 1e-6 ELSE 0 END')} AS cov
@@ -281,7 +283,7 @@ def return_windows_query(t: Tables) -> DataFrame:
     ),
 )
 def covariance(t: Tables) -> DataFrame:
-    return rounded(covariance_long(covariance_rows(basket_windows(t), ridge=1e-6)), "cov")
+    return rounded(covariance_pairs(basket_windows(t), ridge=1e-6), "cov")
 
 
 @query("weights_min_variance", "J4 D40 D41 H7")
@@ -289,17 +291,15 @@ def weights_min_variance(t: Tables) -> DataFrame:
     return mean_variance_weights(basket_windows(t), mode="min_var")
 
 
-_KKT = f"""WITH w AS (SELECT * FROM ({_WIN}) x WHERE ticker IN {BASKET})
+_SOLVED = f"""WITH w AS ({_MEMBER_WIN})
  SELECT 'B' AS run_id, date, COUNT(*) AS n_names, TRUE AS converged, TRUE AS sums_to_one, TRUE AS long_only, TRUE AS optimal
  FROM w GROUP BY date HAVING COUNT(*) >= 2"""
 
 
-@query("min_variance_optimal", "J4 D40", with_ctes("monthly", body=_KKT))
+@query("min_variance_optimal", "J4 D40", with_ctes("monthly", "members", body=_SOLVED))
 def min_variance_optimal(t: Tables) -> DataFrame:
     """Every rebalance has weights; they sum to one, none is negative, and no name could lower the variance."""
-    windows = basket_windows(t)
-    rows = cut(covariance_rows(windows, ridge=1e-6))
-    return optimality(rows, cut(mean_variance_weights(windows, mode="min_var")))
+    return basket_status(basket_windows(t), mode="min_var")
 
 
 @query("weights_mean_variance", "J4")
@@ -307,6 +307,12 @@ def weights_mean_variance(t: Tables) -> DataFrame:
     return mean_variance_weights(basket_windows(t), mode="mean_var", risk_aversion=3.0)
 
 
+@query("mean_variance_optimal", "J4 D40", with_ctes("monthly", "members", body=_SOLVED))
+def mean_variance_optimal(t: Tables) -> DataFrame:
+    """The same of the weights that trade mean return against variance."""
+    return basket_status(basket_windows(t), mode="mean_var", risk_aversion=3.0)
+
+
 @query(
     "score_expected_returns", "E9",
     with_ctes(

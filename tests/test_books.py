@@ -10,8 +10,10 @@ from pitlane.operators.book import (
     CostAware, Costs, equity_curve, fill_log, fold_rows, marked_positions, orders_by_status, positions, simulate,
 )
 from pitlane.operators.covariance import (
-    cost_aware_inputs, cost_aware_step, covariance_rows, cut_weights, mean_variance_weights, project_capped_simplex,
-    return_windows, solve_long_only,
+    cost_aware_inputs, cost_aware_step, covariance_rows, cut_weights, project_capped_simplex, return_windows, solve_long_only,
+)
+from pitlane.operators.frontier import (
+    basket_status, centred, covariance_pairs, mean_variance_weights, solve_baskets,
 )
 from pitlane.operators.weights import (
     bad_weights, buy_and_hold, default_momentum_k, equal_weight, every_nth, momentum_weights, run_timeline,
@@ -229,6 +231,58 @@ def test_covariance_matches_numpy(spark):
     assert np.allclose(m, want, atol=1e-12)
 
 
+def _baskets(spark, seed=3, names=23, observations=6):
+    """Windows of three rebalances, one of them with a single name and one with more names than observations."""
+    rng = np.random.default_rng(seed)
+    common = rng.normal(0, 0.03, observations)
+    rows = [("r", day(f"2020-0{d}-01"), f"N{i:02d}", (common * rng.random() + rng.normal(0.002 * (i % 5), 0.02, observations)).tolist())
+            for d, n in ((1, names), (2, 3), (3, 1)) for i in range(n)]
+    return rows, frame(spark, rows, "run_id string, date date, ticker string, rets array<double>").repartition(4)
+
+
+def test_covariance_of_blocks(spark):
+    rows, windows = _baskets(spark)
+    got = {(r.date, r.i, r.j): r.cov for r in covariance_pairs(windows, ridge=0.5, scale=2.0, block=4).collect()}
+    assert len(got) == 23 * 24 // 2 + 3 * 4 // 2
+    for d, n in ((day("2020-01-01"), 23), (day("2020-02-01"), 3)):
+        want = np.cov(np.array([r[3] for r in rows if r[1] == d]), ddof=1) * 2 + 0.5 * np.eye(n)
+        for i in range(n):
+            for j in range(i, n):
+                assert abs(got[d, i, j] - want[i, j]) < 1e-12
+
+
+@pytest.mark.parametrize("mode,aversion,ridge", [("min_var", 1.0, 1e-6), ("min_var", 1.0, 0.0), ("mean_var", 3.0, 1e-4),
+                                                 ("mean_var", 50.0, 1e-6), ("mean_var", 0.0, 1e-6)])
+def test_weights_reach_the_optimum(spark, mode, aversion, ridge):
+    rows, windows = _baskets(spark)
+    got = {(r.date, r.ticker): r.weight for r in mean_variance_weights(windows, mode=mode, risk_aversion=aversion, ridge=ridge).collect()}
+    assert len(got) == 26
+    for d in ("2020-01-01", "2020-02-01"):
+        part = [r for r in rows if r[1] == day(d)]
+        returns = np.array([r[3] for r in part])
+        quad = np.cov(returns, ddof=1) + ridge * np.eye(len(part))
+        quad, lin = (quad, np.zeros(len(part))) if mode == "min_var" else (aversion * quad, returns.mean(axis=1))
+        w = np.array([got[r[1], r[2]] for r in part])
+        assert w.min() >= 0 and abs(w.sum() - 1) < 3e-5
+        w = w / w.sum()
+        value = 0.5 * w @ quad @ w - lin @ w
+        slopes = quad @ w - lin
+        # Weights are cut to six digits; the gap bounds the distance to the optimum.
+        assert w @ slopes - slopes.min() < 5e-5 * max(abs(w @ slopes), 1e-3)
+        assert value <= 0.5 * quad.mean() - lin.mean() + 1e-12
+    told = basket_status(windows, mode=mode, risk_aversion=aversion, ridge=ridge).collect()
+    assert sorted(r.n_names for r in told) == [3, 23]
+    assert all(r.converged and r.sums_to_one and r.long_only and r.optimal for r in told)
+
+
+def test_unsolved_baskets_are_told(spark):
+    _, windows = _baskets(spark)
+    rows = centred(windows).cache()
+    state = solve_baskets(rows, mode="mean_var", risk_aversion=3.0, ridge=1e-6, rounds=1)
+    assert not any(r.done for r in state.collect())
+    assert mean_variance_weights(windows.limit(0)).count() == 0
+
+
 def test_solver_reaches_the_optimum():
     rng = np.random.default_rng(7)
     for n, upper in ((2, 1.0), (20, 1.0), (30, 0.1)):
