@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.operators.panel import (
-    DERIVED, FEATURES, LEVEL_FIELDS, count_known, cross_sections, deflator_drops, enough_features, features_at, market_caps_at,
+    FEATURES, LEVEL_FIELDS, count_known, cross_sections, deflator_drops, enough_features, features_at, market_caps_at,
     rank_normalise, scale_by_assets, section_sizes,
 )
 from pitlane.operators.universe import members_on, sector_codes
@@ -120,9 +120,6 @@ def deflator_drops_query(t: Tables) -> DataFrame:
     return deflator_drops(enough_features(cut(count_known(feature_rows(t)).select("equity", "n_features"))), "mb")
 
 
-RANKED = ("netinc", "rnd", "payoutratio", *DERIVED[:4], "eps_change")
-
-
 @query(
     "rank_normalised", "E6",
     with_ctes(
@@ -130,13 +127,13 @@ RANKED = ("netinc", "rnd", "payoutratio", *DERIVED[:4], "eps_change")
         body=f"""SELECT ticker, date, feature, {r6('CASE WHEN n < 2 THEN 0.0 ELSE CAST(rn - 1 AS DOUBLE) / (n - 1) * 2 - 1 END')} AS z FROM (
  SELECT ticker, date, feature, ROW_NUMBER() OVER (PARTITION BY date, feature ORDER BY v, ticker) AS rn,
  COUNT(*) OVER (PARTITION BY date, feature) AS n FROM ("""
-        + " UNION ALL ".join(f"SELECT ticker, date, CAST({i} AS INTEGER) AS feature, {f} AS v FROM features" for i, f in enumerate(RANKED))
+        + " UNION ALL ".join(f"SELECT ticker, date, CAST({i} AS INTEGER) AS feature, {f} AS v FROM features" for i, f in enumerate(FEATURES))
         + ") l WHERE v IS NOT NULL) r",
     ),
 )
 def rank_normalised(t: Tables) -> DataFrame:
-    rows = cut(feature_rows(t).select("ticker", "date", *RANKED))
-    return rounded(rank_normalise(rows, RANKED), "z")
+    rows = cut(feature_rows(t).select("ticker", "date", *FEATURES))
+    return rounded(rank_normalise(rows, FEATURES), "z")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from pitlane.operators.holdings import (
 )
 from pitlane.operators.inference import deflate, other_windows, trial_sharpes, verdict
 from pitlane.operators.metrics import (
-    METRICS, drawdown, fill_stats, growth, metrics_long, paired_returns, returns, run_metrics, summary_text,
+    METRICS, PERCENT_METRICS, drawdown, fill_stats, growth, metrics_long, paired_returns, returns, run_metrics,
+    summary_text,
 )
 from pitlane.operators.models import section_index
 from pitlane.operators.ranks import exact_median
@@ -366,11 +369,11 @@ def run_metrics_query(t: Tables) -> DataFrame:
     with_ctes(
         "rets",
         body="SELECT run_id, metric, " + r6("value") + " AS value FROM ("
-        + " UNION ALL ".join(f"SELECT run_id, '{m}' AS metric, {m} AS value FROM m" for m in ("beta", "cagr", "volatility")) + ") z",
+        + " UNION ALL ".join(f"SELECT run_id, '{m}' AS metric, {m} AS value FROM m" for m in METRICS) + ") z",
     ).replace("\nSELECT run_id, metric", f", m AS ({METRIC_SQL})\nSELECT run_id, metric"),
 )
 def metrics_long_query(t: Tables) -> DataFrame:
-    return rounded(metrics_long(run_metrics(equity(t)), names=("beta", "cagr", "volatility")), "value")
+    return rounded(metrics_long(run_metrics(equity(t))), "value")
 
 
 @query(
@@ -429,7 +432,6 @@ WRETS = f"""v AS (SELECT e.run_id || '|' || w.start || '|' || w."end" AS run_id,
  FROM v WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
  wrets AS (SELECT s.*, CASE WHEN pe > 0 THEN (equity - pe) / pe END AS ret, CASE WHEN pe > 0 AND pl > 0 AND level IS NOT NULL THEN (equity - pe) / pe END AS pr,
  CASE WHEN pe > 0 AND pl > 0 AND level IS NOT NULL THEN (level - pl) / pl END AS br, CASE WHEN peak > 0 THEN (equity - peak) / peak ELSE 0 END AS dd FROM ws s)"""
-SPREAD_METRICS = ("total_return", "sharpe_ratio", "max_drawdown", "beta")
 
 
 @query(
@@ -438,15 +440,15 @@ SPREAD_METRICS = ("total_return", "sharpe_ratio", "max_drawdown", "beta")
         "equity",
         body=f"""WITH {WRETS}, m AS ({WINDOWED_SQL}), l AS ("""
         + " UNION ALL ".join(
-            f"SELECT SPLIT_PART(run_id, '|', 1) AS strategy, '{m}' AS metric, {m} * {1 if m in ('sharpe_ratio', 'beta') else 100} AS value FROM m"
-            for m in SPREAD_METRICS
+            f"SELECT SPLIT_PART(run_id, '|', 1) AS strategy, '{m}' AS metric, {m} * {100 if m in PERCENT_METRICS else 1} AS value FROM m"
+            for m in METRICS
         )
         + f""") SELECT strategy, metric, COUNT(*) AS n_windows, {r6('AVG(value)')} AS mean, {r6('COALESCE(STDDEV_SAMP(value), 0)')} AS std,
  {r6('MIN(value)')} AS min, {r6('MEDIAN(value)')} AS median, {r6('MAX(value)')} AS max FROM l WHERE value IS NOT NULL GROUP BY strategy, metric""",
     ),
 )
 def metric_spread_query(t: Tables) -> DataFrame:
-    out = metric_spread(windowed_metrics(t), names=SPREAD_METRICS)
+    out = metric_spread(windowed_metrics(t))
     return rounded(out, "mean", "std", "min", "median", "max")
 
 
@@ -454,24 +456,27 @@ def metric_spread_query(t: Tables) -> DataFrame:
     "per_window_values", "D23 H12",
     with_ctes(
         "equity",
-        body=f"""WITH {WRETS}, m AS ({WINDOWED_SQL}) SELECT SPLIT_PART(run_id, '|', 1) AS strategy, CAST(SPLIT_PART(run_id, '|', 2) AS DATE) AS start,
- SPLIT_PART(run_id, '|', 2) || ' -> ' || SPLIT_PART(run_id, '|', 3) AS label, COALESCE(printf('%.4f', beta), 'n/a') AS value FROM m""",
+        body=f"""WITH {WRETS}, m AS ({WINDOWED_SQL}) """ + " UNION ALL ".join(
+            f"""SELECT '{m}' AS metric, SPLIT_PART(run_id, '|', 1) AS strategy, CAST(SPLIT_PART(run_id, '|', 2) AS DATE) AS start,
+ SPLIT_PART(run_id, '|', 2) || ' -> ' || SPLIT_PART(run_id, '|', 3) AS label, COALESCE(printf('%.4f', {m}), 'n/a') AS value FROM m"""
+            for m in METRICS),
     ),
 )
 def per_window_values(t: Tables) -> DataFrame:
-    return per_window(windowed_metrics(t), "beta")
+    wide = cut(windowed_metrics(t))
+    return reduce(DataFrame.unionByName, [per_window(wide, m).withColumn("metric", F.lit(m)) for m in METRICS])
 
 
-@query(
-    "summary_text", "K11",
-    with_ctes(
-        "rets",
-        body=f"""SELECT run_id, COALESCE(format('{{:,.3f}}', sharpe_ratio), 'n/a') AS sharpe_ratio,
- COALESCE(format('{{:,.3f}}', beta), 'n/a') AS beta, format('{{:,.2f}}', final_equity) || ' USD' AS final_equity FROM ({METRIC_SQL}) z""",
-    ),
-)
+_TEXTS = ", ".join(
+    [f"COALESCE(format('{{:,.2f}}', {m} * 100) || ' %', 'n/a') AS {m}" for m in PERCENT_METRICS]
+    + [f"COALESCE(format('{{:,.3f}}', {m}), 'n/a') AS {m}" for m in ("sharpe_ratio", "information_ratio", "beta")]
+    + [f"format('{{:,.2f}}', {m}) || ' USD' AS {m}" for m in ("start_equity", "final_equity")]
+    + ["format('{:,.2f}', turnover) || ' x' AS turnover", "'0' AS n_fills"])
+
+
+@query("summary_text", "K11", with_ctes("rets", body=f"SELECT run_id, {_TEXTS} FROM ({METRIC_SQL}) z"))
 def summary_text_query(t: Tables) -> DataFrame:
-    return summary_text(run_metrics(equity(t))).select("run_id", "sharpe_ratio", "beta", "final_equity")
+    return summary_text(run_metrics(equity(t)))
 
 
 @query(
