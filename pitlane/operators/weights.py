@@ -135,6 +135,11 @@ def bad_weights(weights: DataFrame) -> DataFrame:
     return per.where((F.col("lowest") < 0) | (F.col("total") > 1 + WEIGHT_TOLERANCE))
 
 
+def repeated_symbols(basket: DataFrame) -> DataFrame:
+    """(run_id, ticker, n) of the names that a basket lists more than once; a basket must have none. Null names count too."""
+    return basket.groupBy("run_id", "ticker").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def trades(
     targets: DataFrame, held: DataFrame, equity: DataFrame, closes: DataFrame, *, cash_buffer: float = 0.02,
     min_notional: float = 0.0,

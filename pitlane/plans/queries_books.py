@@ -20,7 +20,7 @@ from pitlane.operators.holdings import effective_holdings, scores_at, top_scored
 from pitlane.operators.metrics import run_metrics
 from pitlane.operators.universe import keep_members, members_on
 from pitlane.operators.weights import (
-    bad_weights, buy_and_hold, equal_weight, every_nth, momentum_at, momentum_table, momentum_weights, run_timeline,
+    bad_weights, buy_and_hold, equal_weight, every_nth, momentum_at, momentum_table, momentum_weights, repeated_symbols, run_timeline,
     score_equal, score_proportional, trades,
 )
 from pitlane.plans.fixtures import Tables, with_ctes
@@ -189,6 +189,15 @@ def weights_rejected(t: Tables) -> DataFrame:
     return rounded(bad_weights(w), "lowest", "total")
 
 
+@query(
+    "symbols_repeated", "J9",
+    with_ctes("members", body="SELECT 'index' AS run_id, ticker, COUNT(*) AS n FROM members GROUP BY ticker HAVING COUNT(*) > 1"),
+)
+def symbols_repeated(t: Tables) -> DataFrame:
+    """Names with several spells in the index: as one basket of all spells they would be listed twice."""
+    return repeated_symbols(t.members.select(F.lit("index").alias("run_id"), "ticker"))
+
+
 @query(
     "effective_holdings", "D34",
     with_ctes(

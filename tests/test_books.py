@@ -16,7 +16,7 @@ from pitlane.operators.frontier import (
     basket_status, centred, covariance_pairs, mean_variance_weights, solve_baskets,
 )
 from pitlane.operators.weights import (
-    bad_weights, buy_and_hold, default_momentum_k, equal_weight, every_nth, momentum_weights, run_timeline,
+    bad_weights, buy_and_hold, default_momentum_k, equal_weight, every_nth, momentum_weights, repeated_symbols, run_timeline,
     score_proportional, trades,
 )
 from tests.helpers import day, frame, tuples
@@ -319,3 +319,8 @@ def test_cost_aware_pulls_to_the_held_book(spark):
     fills = fill_log(ledger).collect()
     assert {r["decided_at"] for r in fills} == {days[6], days[9]}
     assert all(r["date"] == r["decided_at"] + dt.timedelta(days=1) for r in fills)
+
+
+def test_repeated_symbols(spark):
+    rows = [("a", "X"), ("a", "Y"), ("a", "X"), ("b", "X"), ("b", None), ("b", None)]
+    assert tuples(repeated_symbols(frame(spark, rows, "run_id string, ticker string"))) == [("a", "X", 2), ("b", None, 2)]

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitlane.functions.scalar import guarded_div, mid_price, normal_cdf, normal_ppf, round_half_up, slipped
 from pitlane.operators.crossval import (
-    combinatorial_purged, contiguous_blocks, folds, overlap, purged_kfold,
+    combination, combinatorial_purged, contiguous_blocks, folds, overlap, purged_kfold,
 )
 from pitlane.operators.evaluation import metric_spread, per_window, rolling_windows
 from pitlane.operators.inference import (
@@ -170,6 +171,13 @@ def _idx(spark, n):
     return spark.range(n).select(F.col("id").alias("idx"))
 
 
+def test_combinations_by_number(spark):
+    for n, k in ((6, 2), (5, 1), (7, 6), (20, 5)):
+        want = list(itertools.combinations(range(n), k))
+        got = spark.range(len(want)).select("id", combination(F.col("id"), n, k).alias("c")).collect()
+        assert [tuple(r.c) for r in sorted(got)] == want
+
+
 def test_cross_validation(spark):
     sizes = folds(_idx(spark, 11), 11, 3).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in sizes] == [4, 4, 3]
