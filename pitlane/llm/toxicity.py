@@ -30,11 +30,13 @@ from pitlane.session import cut
 SAMPLE = 2500
 LEVEL, COMMON_BYTES, OWN_BYTES = 9, 1024, 3072
 LEAD_IN = b"<0123456789|ABCDEFGHIJKLMNOPQRSTUVWXYZ|~!@^&()_+{}:;?/,.=-0987654321>"
+#: zstandard looks for no match that begins in the last eight bytes of its input; these follow every window.
+LEAD_OUT = bytes(range(1, 9))
 #: Distances that a worker remembers, of words of up to so many bytes.
 REMEMBERED, SHORT = 200_000, 64
-#: Letters of a sequence; the texts of a class it must be in; how much more frequent it must be there; and a bound on the
+#: Bytes of a sequence, short and long; the texts of a class it must be in; how much more frequent it must be there; and a bound on the
 #: probability of such counts were it as frequent in both classes.
-GRAM, LEAST, RATIO, CHANCE = 5, 5, 8, 1e-5
+GRAMS, LEAST, RATIO, CHANCE = (5, 8), 5, 4, 1e-5
 #: Counts that a task holds before it puts them out.
 HELD = 200_000
 THRESHOLD = 0.3
@@ -47,7 +49,8 @@ def _words(text: str | None) -> list[bytes]:
 
 def _grams(words: list[bytes]) -> set[bytes]:
     """The sequences within the words of a text; a word's ends count as spaces."""
-    return {w[i:i + GRAM] for w in {b" " + w + b" " for w in words} for i in range(len(w) - GRAM + 1)}
+    padded = {b" " + w + b" " for w in words}
+    return {w[i:i + n] for w in padded for n in GRAMS for i in range(len(w) - n + 1)}
 
 
 def _frequent(own: Column, n: int, other: Column, m: int) -> Column:
@@ -63,23 +66,31 @@ def _marked(words: list[bytes], chosen: set[bytes]) -> bytes:
     for w in dict.fromkeys(words):
         padded = b" " + w + b" "
         start = end = -1
-        for i in range(len(padded) - GRAM + 1):
-            if padded[i:i + GRAM] in chosen:
-                if start >= 0 and i >= end:
-                    out.append(padded[start:end])
-                    start = -1
-                start, end = (i if start < 0 else start), i + GRAM
+        for i in range(len(padded)):
+            size = next((n for n in reversed(GRAMS) if padded[i:i + n] in chosen), 0)
+            if not size:
+                continue
+            if start >= 0 and i >= end:
+                out.append(padded[start:end])
+                start = -1
+            start, end = (i if start < 0 else start), max(end, i + size)
         if start >= 0:
             out.append(padded[start:end])
     return b"".join(dict.fromkeys(out))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    samples = [s for s in samples if len(s) > 8]
+    """A trained dictionary. A sample of fewer than 9 bytes is repeated, since zstandard takes no shorter ones; where the samples
+    are too few or too small to train on, the dictionary is those that most texts have, the most frequent last."""
+    kept = [s * (8 // len(s) + 1) for s in samples if s]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to choose from: take it as it is
-        return b"".join(samples)[:size]
+        return zstandard.train_dictionary(size, kept).as_bytes()
+    except zstandard.ZstdError:
+        out = b""
+        for s, _ in sorted(Counter(s for s in samples if s).items(), key=lambda x: (-x[1], x[0])):
+            if s not in out and len(s) + len(out) <= size:
+                out = s + out
+        return out
 
 
 @dataclass(frozen=True)
@@ -120,7 +131,7 @@ def _measure(ordinary: bytes, toxic: bytes):
 
     def distance(word: bytes) -> int:
         if (d := known.get(word)) is None:
-            window = LEAD_IN + b" " + word + b" "
+            window = LEAD_IN + b" " + word + b" " + LEAD_OUT
             d = len(with_ordinary.compress(window)) - len(with_toxic.compress(window))
             if len(word) <= SHORT:
                 if len(known) >= REMEMBERED:

@@ -35,10 +35,10 @@ def test_weights_decide():
     page = "<article><p>The text of the page here</p><div class='promo'>This is more of the same text</div></article>"
     assert text_of(page) == "The text of the page here"
     assert text_of(page, {".promo": 2.0}) == "The text of the page here\nThis is more of the same text"
-    page = "<p>one two three x</p><div>four five six seven</div><p>eight nine</p>"
-    assert text_of(page) == "one two three x\nfour five six seven"
-    assert text_of(page, {"div": -9.0}) == "four five six seven"
-    assert text_of(page, {"div": -0.1, "/div": -0.1}) == "one two three x\nfour five six seven\neight nine"
+    page = "<p>one two three x</p><div>four five six seven more</div><p>eight nine</p>"
+    assert text_of(page) == "one two three x\nfour five six seven more"
+    assert text_of(page, {"div": -9.0}) == "four five six seven more"
+    assert text_of(page, {"div": -0.1, "/div": -0.1}) == "one two three x\nfour five six seven more\neight nine"
 
 
 def test_best_stretch_against_all():
