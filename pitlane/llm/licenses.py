@@ -36,9 +36,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
             "Public License as published by the Free Software Foundation"),
     ("LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("LGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+             "Public License as published by the Free Software Foundation"),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+             "Public License as published by the Free Software Foundation"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
             "that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
@@ -139,15 +144,22 @@ def find(piece: words.Piece, index: Index) -> dict[int, list[tuple[int, int, str
             for member in group.members:
                 hit = np.flatnonzero(low == index.value(index.sets[member], band).min())
                 found.update((int(owner[h]), int(start[h]), member) for h in hit)
-    out: dict[int, list[tuple[int, int, str]]] = {}
+    out: dict[int, list[tuple[int, int, str, frozenset[int]]]] = {}
     width = {i: g.window for g in index.groups for i in g.members}
     for r, s, member in sorted(found):
         part = hashes[begin[r] + s:begin[r] + min(s + width[member], int(count[r]))]
         known = np.isin(part, index.sets[member])
         if len(np.unique(part[known])) >= CONTAINED * len(index.sets[member]) - 1e-9:
             where = np.flatnonzero(known)
-            out.setdefault(r, []).append((s + int(where[0]), s + int(where[-1]) + SHINGLE, index.names[member]))
-    return {r: _joined(spans) for r, spans in out.items()}
+            out.setdefault(r, []).append((s + int(where[0]), s + int(where[-1]) + SHINGLE, index.names[member],
+                                          frozenset((s + where).tolist())))
+    return {r: _joined(_best(spans)) for r, spans in out.items()}
+
+
+def _best(spans: list[tuple[int, int, str, frozenset[int]]]) -> list[tuple[int, int, str]]:
+    """Matches but for those with more than half of their shingles in a match of another name with more; ties all stay."""
+    return [(a, b, name) for a, b, name, at in spans
+            if not any(other != name and len(held) > len(at) and 2 * len(held & at) > len(at) for _, _, other, held in spans)]
 
 
 def _window_min(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -173,6 +185,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_matches, licenses, spans.
 
+    A match with more than half of its shingles in a longer match of another name does not count; on ties all do.
     ``licenses`` has the different names, sorted and comma-joined; ``spans`` has name:start:end of every match by
     start (words, end exclusive). A null text has no words; other columns are ignored. One pass, no shuffle.
     """
