@@ -114,21 +114,6 @@ def test_exchange_finds_two_languages():
     assert place[40] == 2 and len(set(place[:20])) == len(set(place[20:40])) == 1 and place[0] != place[20]
 
 
-def test_score_is_a_distribution(spark):
-    """Transitions sum to one, and so do the words of a class with the unseen one."""
-    rows = [(i, "a b a c" if i % 2 else "b b a d e") for i in range(30)]
-    train = frame(spark, rows).where(~class_lm.held_out())
-    model, counts = class_lm.train(train.select("text"))
-    assert np.allclose((10 ** model.move).sum(axis=1), 1)
-    by = {r["h"]: (r["ending"], r["c"]) for r in counts.collect()}
-    own = dict(zip(model.own.view(np.int64).tolist(), model.own_type.tolist(), strict=True))
-    total = np.full(class_lm.CLASSES + 1, 0.5)
-    total[class_lm.CLASSES] += model.ends + 0.5
-    for h, (ending, c) in by.items():
-        total[model.classes[own.get(h, ending)]] += c + 0.5
-    assert np.allclose(total, 10 ** model.total)
-
-
 def test_quality(docs, texts, spark):
     labels = spark.createDataFrame([(d, d % 2, None) for d, _ in texts], "doc_id long, quality int, toxic int")
     got = by_id(quality.judge(docs, labels))
