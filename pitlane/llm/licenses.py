@@ -50,9 +50,23 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
             "hereby granted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL", "SPDX-License-Identifier: AGPL-3.0"),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 )
 
 
@@ -187,7 +201,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
 
     A match with more than half of its shingles in a longer match of another name does not count; on ties all do.
     ``licenses`` has the different names, sorted and comma-joined; ``spans`` has name:start:end of every match by
-    start (words, end exclusive). A null text has no words; other columns are ignored. One pass, no shuffle.
+    start (words, end exclusive). A null or empty text has no words and no matches; repeated rows give a row each, an
+    empty table none; other columns are ignored, whatever their names. One pass, no shuffle.
     """
     held: list[Index] = []
 
