@@ -482,5 +482,5 @@ def ledger_latest(t: Tables) -> DataFrame:
 )
 def ledger_slugs(t: Tables) -> DataFrame:
     found = slugs_of_kind(_ledger(t), "F")
-    w = Window.partitionBy(F.lit(0)).orderBy("first_seen", "slug")
+    w = Window.partitionBy(F.lit(0)).orderBy("first_seen", "first_seq")
     return found.select("slug", F.row_number().over(w).cast("bigint").alias("pos"))

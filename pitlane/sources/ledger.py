@@ -39,10 +39,12 @@ def latest_run(ledger: DataFrame, slug: str, kind: str) -> DataFrame:
 
 
 def slugs_of_kind(ledger: DataFrame, kind: str, *, prefix: str = "") -> DataFrame:
-    """Distinct slugs of a kind, in the order first seen."""
+    """Distinct slugs of a kind, in the order first seen: by the time, then the ``first_seq``, of their first run."""
     rows = ledger.where((F.col("kind") == kind) & F.col("slug").startswith(prefix))
-    firsts = rows.groupBy("slug").agg(F.min(F.struct("timestamp", "seq")).alias("first_seen"))
-    return firsts.orderBy("first_seen").select("slug", F.col("first_seen.timestamp").alias("first_seen"))
+    firsts = rows.groupBy("slug").agg(F.min(F.struct("timestamp", "seq")).alias("_f"))
+    return firsts.select(
+        "slug", F.col("_f.timestamp").alias("first_seen"), F.col("_f.seq").alias("first_seq")
+    ).orderBy("first_seen", "first_seq")
 
 
 def series_json(equity: DataFrame) -> DataFrame:

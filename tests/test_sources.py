@@ -4,6 +4,8 @@ import math
 import pytest
 
 from pitlane.operators.models import score_partition
+from pitlane.plans.fixtures import Tables
+from pitlane.plans.queries_sources import ledger_slugs
 from pitlane.sources.fundamentals import load_filings, select_filings
 from pitlane.sources.ledger import (
     latest_run, latest_runs, read_ledger, record_runs, series_json, series_rows, slugs_of_kind,
@@ -164,6 +166,16 @@ def test_ledger(spark, tmp_path):
         latest_run(ledger, "q", "single_run")
 
 
+def test_slugs_first_seen_at_one_time_go_by_sequence(spark, tmp_path):
+    """Orders of one day: the order that came first decides, not the name."""
+    orders = [(1, "2-HIGH", "F", day("1995-01-01"), 1.0), (7, "1-URGENT", "F", day("1995-01-01"), 1.0),
+              (3, "5-LOW", "F", day("1995-01-01"), 1.0), (9, "4-MEDIUM", "F", day("1994-12-31"), 1.0)]
+    frame(spark, orders, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_orderdate date, "
+          "o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["slug"]: r["pos"] for r in ledger_slugs(Tables(spark, str(tmp_path))).collect()}
+    assert got == {"4-MEDIUM": 1, "2-HIGH": 2, "5-LOW": 3, "1-URGENT": 4}
+
+
 def test_series_json(spark):
     rows = [("r", day("2020-01-01"), 100.005, None), ("r", day("2020-01-02"), 101.0, 50.0), ("s", day("2020-01-01"), 1.0, None)]
     texts = series_json(frame(spark, rows, "run_id string, ts date, equity double, level double"))
