@@ -13,6 +13,7 @@ from pitlane.operators.book import (
 from pitlane.operators.covariance import (
     cost_aware_inputs, cost_aware_step, covariance_rows, cut_weights, project_capped_simplex, return_windows, solve_long_only,
 )
+from pitlane.operators import frontier
 from pitlane.operators.frontier import (
     basket_status, centred, covariance_pairs, mean_variance_weights, solve_baskets,
 )
@@ -23,6 +24,7 @@ from pitlane.operators.weights import (
 from pitlane.plans.fixtures import Tables
 from pitlane.plans.queries_books import buy_and_hold_fills
 from pitlane.plans.registry import ENTRIES
+from pitlane.session import cut
 from tests.helpers import day, frame, tuples
 
 RUN = "run_id string, start date, end date"
@@ -278,6 +280,26 @@ def test_covariance_of_blocks(spark):
                 assert abs(got[d, i, j] - want[i, j]) < 1e-12
 
 
+def test_a_basket_travels_in_few_blocks(spark, monkeypatch):
+    """Names of a basket go to their pairs in blocks, a few rows per basket, and every pair is there once."""
+    rng, stored = np.random.default_rng(3), []
+
+    def keep(df):
+        stored.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(frontier, "cut", keep)
+    rets = rng.normal(0, 0.1, (600, 5))
+    rows = [("b", day("2020-01-01"), f"T{i:04d}", [float(x) for x in r]) for i, r in enumerate(rets)]
+    windows = frame(spark, rows, "run_id string, date date, ticker string, rets array<double>")
+    out = covariance_pairs(windows, ridge=0.5)
+    assert stored == [3] and dict(out.dtypes) == {"run_id": "string", "date": "date", "i": "bigint", "j": "int", "cov": "double"}
+    got = out.toPandas().sort_values(["i", "j"])
+    i, j = np.triu_indices(600)
+    assert (got["i"] == i).all() and (got["j"] == j).all()
+    assert np.abs(got["cov"].to_numpy() - (np.cov(rets, ddof=1) + 0.5 * np.eye(600))[i, j]).max() < 1e-12
+
+
 @pytest.mark.parametrize("mode,aversion,ridge", [("min_var", 1.0, 1e-6), ("min_var", 1.0, 0.0), ("mean_var", 3.0, 1e-4),
                                                  ("mean_var", 50.0, 1e-6), ("mean_var", 0.0, 1e-6)])
 def test_weights_reach_the_optimum(spark, mode, aversion, ridge):
