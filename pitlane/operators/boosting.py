@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Models whose sums a task holds at a time.
-HELD = 64
+#: Models whose sums a task holds at a time, and rows it works on at a time.
+HELD, CHUNK = 64, 16_384
 
 
 @dataclass(frozen=True)
@@ -60,31 +60,56 @@ class Forest:
     first: np.ndarray
     base: np.ndarray
     depth: int
+    width: int
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    def node(self, m: int, x: np.ndarray, feature: np.ndarray, left: np.ndarray, levels: int) -> np.ndarray:
-        """Which of the 2^levels nodes of a level each row reaches in a tree of model ``m``."""
-        at = np.zeros(len(x), np.int64)
-        for level in range(levels):
-            inner = at + (1 << level) - 1
-            bins = x[np.arange(len(x)), feature[m, inner]]
-            at = 2 * at + ~left[m, inner, bins]
-        return at
-
-    def predict(self, m: int, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base[m])
+    def predict(self, m: int, columns: np.ndarray) -> np.ndarray:
+        """Predictions of model ``m`` for rows given as columns of bins."""
+        out = np.full(columns.shape[1], self.base[m])
         for feature, left, leaf in self.trees:
-            out += leaf[m, self.node(m, x, feature, left, self.depth)]
+            out += leaf[m][descend(columns, feature[m], left[m], self.depth)]
         return out
 
 
-def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups, sections, labels and bins of a batch, in order of sections."""
+def _right(bins: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which rows do not go left. Where the bins that go left are the first ones, one comparison tells."""
+    k = int(left[1:].sum())
+    if not left[1:k + 1].all():
+        return ~left[bins]
+    # Bin 0, missing, is below every other; less one it wraps around and is above them.
+    return bins > k if left[0] else bins - bins.dtype.type(1) >= k
+
+
+def descend(columns: np.ndarray, feature: np.ndarray, left: np.ndarray, levels: int) -> np.ndarray:
+    """Which of the 2^levels nodes of a level each row reaches in a tree; ``columns`` holds the bins by feature."""
+    at = np.zeros(columns.shape[1], np.uint8 if levels < 8 else np.int64)
+    for level in range(levels):
+        ways = [_right(columns[feature[i]], left[i]) for i in range((1 << level) - 1, (1 << (level + 1)) - 1)]
+        for bit in range(level):
+            # Of each pair of nodes the one that the path so far has led to, from the last turn back to the first.
+            turned = (at >> bit) & 1 == 1
+            ways = [np.where(turned, right, other) for other, right in zip(ways[::2], ways[1::2], strict=True)]
+        at = 2 * at + ways[0]
+    return at
+
+
+def _small(width: int) -> type:
+    """The least type that holds bins below ``width`` and one more."""
+    return np.uint8 if width < 256 else np.uint16
+
+
+def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Group, sections, labels and columns of bins of the rows of each group in a batch, in order of sections."""
     section = batch.column("section").to_numpy(zero_copy_only=False)
-    x = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(section), -1)
+    grp = batch.column("grp").to_numpy(zero_copy_only=False)
     y = batch.column("target").to_numpy(zero_copy_only=False).astype(float)
-    order = np.argsort(section, kind="stable")
-    return batch.column("grp").to_numpy(zero_copy_only=False)[order], section[order], y[order], x[order]
+    x = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(section), -1)
+    for g in np.unique(grp):
+        own = np.flatnonzero((grp == g) & ~np.isnan(y))
+        own = own[np.argsort(section[own], kind="stable")]
+        for start in range(0, len(own), CHUNK):
+            part = own[start:start + CHUNK]
+            yield int(g), section[part], y[part], np.ascontiguousarray(x[part].T.astype(_small(width)))
 
 
 def binned(rows: DataFrame, bins: Bins, features: Sequence[str], keep: Sequence[str] = ("date", "ticker")) -> DataFrame:
@@ -106,48 +131,48 @@ def binned(rows: DataFrame, bins: Bins, features: Sequence[str], keep: Sequence[
 def _sums(rows: DataFrame, forest: Forest, tree: tuple[np.ndarray, np.ndarray], level: int, width: int) -> DataFrame:
     """(model, node, total, count): residual sums and counts of a level's nodes by feature and bin, one row per task.
 
-    A task keeps its bins, two bytes each, and the sums of ``HELD`` models at a time.
+    A task keeps its bins, a byte or two each, and the sums of ``HELD`` models at a time. A feature's sums of a model are
+    one pass over its column of a chunk of rows, small enough to stay near the processor.
     """
-    nodes = 1 << level
+    nodes, feature_bins = 1 << level, width << level
     wanted = np.arange(len(forest.first))
+    feature, left = tree
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            grp, section, y, x = _blocks(batch)
-            known = ~np.isnan(y)
-            if known.any():
-                held.append((grp[known], section[known], y[known], x[known]))
+        held = [part for batch in batches for part in _blocks(batch, width)]
         if not held:
             return
-        d = held[0][3].shape[1]
-        place = np.arange(d) * width
+        d = len(held[0][3])
         for start in range(0, len(wanted), HELD):
-            out: dict[str, list] = {"model": [], "node": [], "total": [], "count": []}
-            for m in wanted[start:start + HELD]:
-                total, count = np.zeros((nodes, d * width)), np.zeros((nodes, d * width))
-                for grp, section, y, x in held:
-                    own = np.flatnonzero(grp[:np.searchsorted(section, forest.first[m])] == forest.group[m])
-                    if not len(own):
-                        continue
-                    z = x[own]
-                    rest = y[own] - forest.predict(m, z)
-                    at = forest.node(m, z, *tree, level)
-                    flat = (z + (place + (at * d * width)[:, None])).ravel()
-                    total += np.bincount(flat, np.repeat(rest, d), total.size).reshape(nodes, -1)
-                    count += np.bincount(flat, minlength=total.size).reshape(nodes, -1)
-                for node in np.flatnonzero(count.any(axis=1)):
-                    out["model"].append(int(m))
-                    out["node"].append(int(node))
-                    out["total"].append(total[node])
-                    out["count"].append(count[node])
-            if out["model"]:
+            some = wanted[start:start + HELD]
+            total = np.zeros((len(some), d, feature_bins))
+            count = np.zeros((len(some), d, feature_bins), np.int64)
+            for grp, section, y, x in held:
+                ends = np.searchsorted(section, forest.first[some])
+                asked = np.flatnonzero((forest.group[some] == grp) & (ends > 0))
+                if not len(asked):
+                    continue
+                place = x.astype(np.int64)
+                for k in asked:
+                    m, end = some[k], ends[k]
+                    z = x[:, :end]
+                    rest = y[:end] - forest.predict(m, z)
+                    at = descend(z, feature[m], left[m], level).astype(np.int64) * width
+                    for j in range(d):
+                        flat = place[j, :end] + at if level else place[j, :end]
+                        total[k, j] += np.bincount(flat, rest, feature_bins)
+                        count[k, j] += np.bincount(flat, minlength=feature_bins)
+            total, count = (np.moveaxis(v.reshape(len(some), d, nodes, width), 2, 1) for v in (total, count))
+            which, node = np.nonzero(count.any(axis=(2, 3)))
+            if len(which):
+                ends = pa.array(np.arange(len(which) + 1) * d * width, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["model"], pa.int32()), pa.array(out["node"], pa.int32()),
-                     pa.array(out["total"], pa.list_(pa.float64())), pa.array(out["count"], pa.list_(pa.float64()))],
-                    names=list(out))
+                    [pa.array(some[which], pa.int32()), pa.array(node, pa.int32()),
+                     pa.ListArray.from_arrays(ends, pa.array(total[which, node].ravel())),
+                     pa.ListArray.from_arrays(ends, pa.array(count[which, node].ravel().astype(np.int32)))],
+                    names=["model", "node", "total", "count"])
 
-    return rows.mapInArrow(add, "model int, node int, total array<double>, count array<double>")
+    return rows.mapInArrow(add, "model int, node int, total array<double>, count array<int>")
 
 
 def best_split(total: np.ndarray, count: np.ndarray, nominal: Sequence[bool], least: int) -> tuple[int, np.ndarray, float, float]:
@@ -196,12 +221,12 @@ def grow(rows: DataFrame, models: Sequence[tuple[int, int]], bins: Bins, *, n_tr
     for m in range(k):
         before = means[(means["grp"] == group[m]) & (means["section"] < first[m])]
         base[m] = before["y"].sum() / before["n"].sum() if len(before) else 0.0
-    forest = Forest(group, first, base, depth, [])
+    forest = Forest(group, first, base, depth, width, [])
     nominal = [e is None for e in bins.edges]
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack(pdf["total"].to_numpy()), axis=0).reshape(d, width)
-        count = np.sum(np.stack(pdf["count"].to_numpy()), axis=0).reshape(d, width)
+        count = np.sum(np.stack(pdf["count"].to_numpy()), axis=0, dtype=float).reshape(d, width)
         feature, goes, left, right = best_split(total, count, nominal, least)
         return pd.DataFrame({"model": [pdf["model"].iloc[0]], "node": [pdf["node"].iloc[0]], "feature": [feature],
                              "goes": [goes.tolist()], "lower": [left], "upper": [right]})
@@ -224,17 +249,20 @@ def grow(rows: DataFrame, models: Sequence[tuple[int, int]], bins: Bins, *, n_tr
 def predict(rows: DataFrame, forest: Forest, keep: Sequence[str] = ("date", "ticker")) -> DataFrame:
     """(keep, grp, target, predicted): every row by the newest model of its group that has not learnt from its section;
     rows before the first model have none and are left out."""
+    small = _small(forest.width)
+
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grp, section = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "section"))
-            x = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(section), -1)
+            x = np.ascontiguousarray(
+                batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(section), -1).T.astype(small))
             out, some = np.zeros(len(section)), np.zeros(len(section), bool)
             for m in np.argsort(forest.first, kind="stable"):
                 own = np.flatnonzero((grp == forest.group[m]) & (section >= forest.first[m]))
                 later = forest.first[(forest.group == forest.group[m]) & (forest.first > forest.first[m])]
                 if len(later):
                     own = own[section[own] < later.min()]
-                out[own], some[own] = forest.predict(m, x[own]), True
+                out[own], some[own] = forest.predict(m, x[:, own]), True
             names = [*keep, "grp", "target"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)],
                                              names=[*names, "predicted"]).filter(pa.array(some))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.operators.boosting import best_split
+from pitlane.operators.boosting import best_split, descend
 from pitlane.operators.models import (
     ablated_scores, boosted_scores, design_vectors, emit_scores, expanding_ridge, expanding_trees, one_feature_ridge, placebo_labels,
     ridge_coefficients, ridge_predictions, score_partition, tree_inputs,
@@ -178,6 +178,25 @@ def plain_boosting(train, test, edges, n_trees, depth, rate, least):
     return out
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_rows_go_down_a_tree_by_columns(kind):
+    """First bins left, with the missing on either side, any set of bins of a nominal feature, and no split at all."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 9, (4, 500)).astype(kind)
+    feature = rng.integers(0, 4, 7)
+    left = np.array([np.arange(9) <= 4, np.arange(9) < 3, rng.random(9) < 0.5, np.ones(9, bool),
+                     (np.arange(9) > 0) & (np.arange(9) < 6), rng.random(9) < 0.5, np.arange(9) == 0])
+    for levels in range(4):
+        want = []
+        for r in range(500):
+            at = 0
+            for level in range(levels):
+                inner = at + (1 << level) - 1
+                at = 2 * at + (not left[inner, bins[feature[inner], r]])
+            want.append(at)
+        assert descend(bins, feature, left, levels).tolist() == want
+
+
 def test_trees_of_all_months_against_plain_boosting(spark):
     rng = random.Random(4)
     rows = []
