@@ -152,13 +152,13 @@ def spread_growth(months: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 
 def valuation_error(scores: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Median absolute valuation error ``expm1(median(|score|))``."""
-    return exact_median(scores.withColumn("_a", F.abs("score")), by, "_a").select(
+    return exact_median(scores.withColumn("_a", F.abs("score")), by, "_a", few=True).select(
         *by, F.expm1("median").alias("median_ape"), "n"
     )
 
 
 def prediction_size(scores: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Upper median of the absolute predicted return."""
-    return exact_median(scores.withColumn("_a", F.abs("score")), by, "_a", upper=True, name="median_abs")
+    return exact_median(scores.withColumn("_a", F.abs("score")), by, "_a", upper=True, name="median_abs", few=True)
 
 

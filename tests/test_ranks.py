@@ -1,4 +1,5 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,24 @@ def test_top_k(spark):
     assert "WindowGroupLimit" in plan
     with pytest.raises(ValueError):
         top_k(df, ["date"], [F.col("ticker")], 0)
+
+
+def test_median_orders_only_the_middle(spark):
+    """Many values, ties at the middle and several groups; no row is compared with a list of cuts."""
+    rng = random.Random(2)
+    sizes = {"a": 20_001, "b": 6_000, "c": 2, "d": 1}
+    rows = [(g, rng.choice((0.0, 0.5, rng.random()))) for g, n in sizes.items() for _ in range(n)]
+    df = frame(spark, [*rows, ("e", None)], "g string, x double")
+    for few in (False, True):
+        out = exact_median(df, ["g"], "x", few=few)
+        assert {r["g"]: (r["median"], r["n"]) for r in out.collect()} == {
+            g: (statistics.median(v for k, v in rows if k == g), n) for g, n in sizes.items()}
+    whole = exact_median(df, [], "x", upper=True)
+    assert whole.first()["median"] == statistics.median_high(v for _, v in rows)
+    assert "_cuts" not in whole._jdf.queryExecution().toString()
+
+
+def test_ranked_rows_carry_no_copy_of_their_key(spark):
+    df = frame(spark, [("g", float(i % 7), f"T{i}") for i in range(50)], "g string, v double, ticker string")
+    plan = ordinal_rank(df, ["g"], [F.col("v"), F.col("ticker")])._jdf.queryExecution().executedPlan().toString()
+    assert "_key" not in plan
