@@ -125,7 +125,7 @@ def ridge_coefficients(
 
 def ridge_predictions(vectors: DataFrame, coefficients: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return vectors.join(coefficients, [*by, "date"]).select(
+    return vectors.join(F.broadcast(coefficients), [*by, "date"]).select(
         *by, "date", "ticker", "target", (F.col("intercept") + dot).alias("predicted")
     )
 

@@ -161,3 +161,17 @@ def test_panel_targets(spark):
 def test_demean_skips_missing(spark):
     df = frame(spark, [("d", 1.0), ("d", 3.0), ("d", None)], "date string, y double")
     assert sorted((r["y"] for r in demean(df, "y").collect()), key=str) == [-1.0, 1.0, None]
+
+
+def test_spells_are_not_shuffled_by_month(spark):
+    """Dates are few: they are sent to the spells, however many names there are."""
+    spells = frame(spark, [("A", day("2020-01-10"), None), ("B", day("2020-02-01"), day("2020-02-20"))],
+                   "ticker string, start_date date, end_date date")
+    dates = frame(spark, [(day("2020-01-31"),), (day("2020-02-15"),)], "date date")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = members_on(dates, spells)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert tuples(out) == [("A", day("2020-01-31")), ("A", day("2020-02-15")), ("B", day("2020-02-15"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
