@@ -175,3 +175,16 @@ def test_spells_are_not_shuffled_by_month(spark):
         assert tuples(out) == [("A", day("2020-01-31")), ("A", day("2020-02-15")), ("B", day("2020-02-15"))]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_members_come_once_without_being_gathered(spark):
+    """Spells of a name that overlap or touch give each date once, and no aggregate sees the members of all dates."""
+    days = frame(spark, [(day(d),) for d in ("2020-01-31", "2020-02-15", "2020-03-31")], "date date")
+    spells = frame(spark, [("A", day("2020-01-01"), day("2020-02-20")), ("A", day("2020-02-01"), None),
+                           ("B", day("2020-02-16"), day("2020-03-30")), ("C", day("2020-02-15"), day("2020-02-15")),
+                           ("C", day("2020-02-16"), day("2020-02-14"))], SPELL)
+    out = members_on(days, spells)
+    assert tuples(out.select("ticker", "date")) == [
+        ("A", day("2020-01-31")), ("A", day("2020-02-15")), ("A", day("2020-03-31")), ("C", day("2020-02-15"))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate" not in plan[:plan.index("Generate")]
