@@ -332,6 +332,16 @@ def test_unsolved_baskets_are_told(spark):
     assert mean_variance_weights(windows.limit(0)).count() == 0
 
 
+def test_weights_are_divided_by_their_own_sum(spark):
+    """The total a solve ended with carries the rounding of another order of addition."""
+    rows = frame(spark, [("b", day("2020-01-01"), t, mu, [0.1, -0.1]) for t, mu in (("A", 0.3), ("B", 0.2), ("C", -9.0))],
+                 "run_id string, date date, ticker string, mu double, dev array<double>")
+    state = frame(spark, [("b", day("2020-01-01"), [0.0, 0.0, 0.5], 1e-6, 1.5e6 * (1 + 1e-8), True)],
+                  "run_id string, date date, held array<double>, p double, total double, done boolean")
+    got = {r.ticker: r.weight for r in frontier._weights(rows, state).collect()}
+    assert got["C"] == 0 and abs(got["A"] - 8 / 15) < 1e-12 and abs(sum(got.values()) - 1) < 1e-12
+
+
 def test_solver_reaches_the_optimum():
     rng = np.random.default_rng(7)
     for n, upper in ((2, 1.0), (20, 1.0), (30, 0.1)):
