@@ -342,6 +342,31 @@ def test_weights_are_divided_by_their_own_sum(spark):
     assert got["C"] == 0 and abs(got["A"] - 8 / 15) < 1e-12 and abs(sum(got.values()) - 1) < 1e-12
 
 
+def test_names_are_added_up_in_blocks(spark, monkeypatch):
+    _, windows = _baskets(spark)
+    rows = centred(windows).cache()
+    ends = []
+    for names in (4, 4096):
+        monkeypatch.setattr(frontier, "NAMES", names)
+        ends.append({r.date: r.x for r in solve_baskets(rows, mode="mean_var", risk_aversion=3.0, ridge=1e-6, rounds=2).collect()})
+    assert frontier._blocks(rows).count() == 2 and len(ends[0]) == 2
+    for d, x in ends[0].items():
+        assert np.allclose(x, ends[1][d], rtol=1e-9, atol=1e-12)
+
+
+def test_windows_are_cut_from_one_row_of_closes(spark):
+    """A key takes its stretch of its symbol's closes; no row per key and return is made or grouped."""
+    closes = [1.0, 2.0, 3.0, 6.0, 0.0]
+    bars = frame(spark, [(t, day(f"2020-01-0{i + 1}"), c) for t in "AB" for i, c in enumerate(closes)], "ticker string, date date, close double")
+    keys = frame(spark, [("b", day(d), t, day(s)) for d, t, s in (
+        ("2020-01-04", "A", "2020-01-02"), ("2020-01-04", "B", "2020-01-03"), ("2020-01-05", "A", "2020-01-01"),
+        ("2020-01-02", "A", "2020-01-01"), ("2020-01-06", "B", "2020-01-01"))], "run_id string, date date, ticker string, start date")
+    out = return_windows(keys, bars, lookback=2)
+    assert sorted((str(r.date), r.ticker, r.rets) for r in out.collect()) == [
+        ("2020-01-04", "A", [0.5, 1.0]), ("2020-01-05", "A", [1.0, -1.0]), ("2020-01-06", "B", [1.0, -1.0])]
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_solver_reaches_the_optimum():
     rng = np.random.default_rng(7)
     for n, upper in ((2, 1.0), (20, 1.0), (30, 0.1)):
