@@ -146,13 +146,14 @@ class WordEncoder:
     """A tokenizer applied word by word, remembering the ids of recent words.
 
     Right for tokenizers that never join characters across ASCII white space (their pre-tokenizer drops it). About
-    ``limit`` words are remembered; then the half used least is forgotten, which costs time and changes nothing else.
+    ``limit`` words are remembered, some 60 bytes each; then the half used least is forgotten, which costs time and changes
+    nothing else.
     New words are encoded as one text, parted by a mark whose id is known; those that hold the mark go one by one.
     """
 
     MARK = "\x01"
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         from tokenizers import Tokenizer
 

@@ -390,3 +390,20 @@ def test_repeated_rows_and_rows_without_id(spark, texts):
     linked = near_dup.link(docs).collect()
     assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in linked)
     assert near_dup.drop_near_duplicates(docs).count() == len(rows)
+
+
+def test_words_in_use_stay_remembered():
+    """Words that come again are not encoded again, also with more distinct ones than a small corpus has."""
+    import pyarrow as pa
+
+    from pitlane.llm import words
+    from pitlane.llm.queries import vocabulary
+    from pitlane.llm.token_files import WordEncoder
+
+    encoder, asked = WordEncoder(vocabulary()), []
+    encoder._encoded = lambda texts: asked.append(len(texts)) or (np.zeros(len(texts), np.uint32), np.ones(len(texts), np.int64))
+    text = pa.array([" ".join(f"w{i}" for i in range(a, a + 20_000)) for a in range(0, 400_000, 20_000)])
+    for _ in range(2):
+        for piece in words.pieces(text, words.NON_SPACE, lower=False):
+            encoder.encode(piece)
+    assert sum(asked) == 400_000
