@@ -186,3 +186,18 @@ def test_series_json(spark):
     for bad in ('{"timestamps": ["2020-01-01"], "equity": ["1", "2"], "benchmark": null}', '{"equity": ["1"]}'):
         with pytest.raises(Exception):
             series_rows(frame(spark, [("r", bad)], "run_id string, series string")).collect()
+
+
+def test_bars_do_not_fill_memory_before_the_shuffle(spark, tmp_path):
+    """Lines go to their bars as they are read; only the bars of one part are held."""
+    import datetime as dt
+
+    frame(spark, [(1, 1, 7, dt.date(1996, 1, 2), 2.0, 10.0, 0.0, 0.0, "A", "F"), (2, 2, 7, dt.date(1996, 1, 2), 3.0, 30.0, 0.0, 0.0, "A", "F"),
+                  (3, 1, 7, dt.date(1996, 1, 3), 1.0, 4.0, 0.0, 0.0, "A", "F")],
+          "l_orderkey long, l_linenumber long, l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double, "
+          "l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    bars = Tables(spark, str(tmp_path)).bars
+    assert tuples(bars.select("date", "low", "high", "close", "n_rows")) == [
+        (day("1996-01-02"), 5.0, 10.0, 8.0, 2), (day("1996-01-03"), 4.0, 4.0, 4.0, 1)]
+    plan = bars._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
