@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlane.llm.kept import keep
+
 #: Pre-tokens in each of a worker's two generations of memory, and the longest of them in characters; others are merged
 #: each time they occur.
 REMEMBERED, SHORT = 1 << 19, 48
@@ -144,15 +146,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_models: dict[tuple, ByteBpe] = {}
-
-
 def _model(key: tuple, ranks: dict[bytes, int], pattern: str) -> ByteBpe:
     """This worker's vocabulary, kept for its next tasks."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = ByteBpe(ranks, pattern)
-    return _models[key]
+    return keep(("ranks", key), lambda: ByteBpe(ranks, pattern))
 
 
 def _lists(lists: list[np.ndarray]) -> pa.ListArray:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.llm import words
+from pitlane.llm.kept import keep
 from pitlane.session import cut
 
 WINDOW = 13
@@ -167,9 +168,6 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
     """The items in id order, a block at a time; no more than a block is on the driver."""
     block, size = [], 0
@@ -208,10 +206,7 @@ def _scan(df: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame
                       ("items", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _matchers:
-            _matchers.clear()  # one block is held at a time
-            _matchers[key] = Matcher(held.value, window)
-        matcher = _matchers[key]
+        matcher = keep(("items", key), lambda: Matcher(held.value, window))
         for batch in batches:
             for piece in words.pieces(batch.column(text), words.ALNUM, lower=True):
                 rows = batch.slice(piece.first, piece.rows)

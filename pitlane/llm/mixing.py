@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.llm import words
+from pitlane.llm.kept import forget
 from pitlane.session import cut
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -99,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in words.pieces(batch.column(2), words.ALNUM, lower=True):
                 found = [np.unique((piece.hashes[piece.begin(r):piece.stop[r]] & np.uint64(BUCKETS - 1)).astype(
@@ -181,6 +183,7 @@ def solve(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     k = len(DOMAINS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for piece in words.pieces(batch.column(0), words.ALNUM, lower=True):
                 n, p = _posteriors(model, piece)

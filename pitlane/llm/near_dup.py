@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from pitlane.llm import words
 from pitlane.llm.graph import components
+from pitlane.llm.kept import forget
 from pitlane.session import cut
 
 CHUNKS, PER_CHUNK, BITS = 10, 4, 21
@@ -69,6 +70,7 @@ def shingles(piece: words.Piece, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for piece in words.pieces(batch.column(1), words.NON_SPACE, lower=True):
             found, stop = shingles(piece)
@@ -96,6 +98,7 @@ def _sketch(column: pa.Array) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
@@ -115,6 +118,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for piece in words.pieces(batch.column(1), words.NON_SPACE, lower=True):
             found, stop = shingles(piece)

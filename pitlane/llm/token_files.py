@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitlane.llm import words
+from pitlane.llm.kept import keep
 from pitlane.session import cut, shared_folder
 
 BLOCK = 128
@@ -229,14 +230,9 @@ class WordEncoder:
         return ids, stop[piece.stop + np.arange(piece.rows)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return keep(("words", path), lambda: WordEncoder(path))
 
 
 # ---------------------------------------------------------------- Spark
