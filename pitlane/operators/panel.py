@@ -194,7 +194,7 @@ def rank_normalise(
     long = panel.select(*by, name, F.explode(pairs).alias("_f")).select(*by, name, "_f.feature", "_f.v").where(
         F.col("v").isNotNull()
     )
-    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts)
+    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts, few=True)
     z = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
         (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1)) * 2.0 - 1.0
     )

@@ -1,7 +1,7 @@
 """Exact ranks inside a cross-section, also one that is too large for one task.
 
 Each group is cut at a few of its own rows, drawn by hash: one row per hash
-class, at most ``cuts`` per group. The pieces are ordered against each other,
+class, at most ``cuts`` per group, from one row in :data:`DRAWN`. The pieces are ordered against each other,
 so a rank is the rank inside the piece plus the size of the pieces before it.
 Cuts are taken on the full ordering key, ties included, so neither a hot date
 nor a hot value ends up in one task. Any cuts give the same, exact answer; they
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = 32
+#: One row in so many may become a cut, so a group of some hundred rows has few cuts or none, and only these are compared.
+DRAWN = 32
 
 
 def split_prefix(
@@ -31,24 +33,27 @@ def split_prefix(
     before: str = "before",
     total: str | None = "n",
     cuts: int = CUTS,
+    few: bool = False,
 ) -> DataFrame:
     """Adds the sum of ``measure`` over the rows strictly before this one, and the group total.
 
-    ``order`` must be non-null and give a total order inside each group.
+    ``order`` must be non-null and give a total order inside each group. With ``few`` groups (dates, features) their
+    cuts and sizes go to the rows, which are then shuffled and sorted once.
     """
+    sent = F.broadcast if few else (lambda rows: rows)
     by = list(by)
     # The key is put together where it is compared, and the measure where it is summed: no row carries them through a shuffle.
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     draw = F.xxhash64(key)
     drawn = (
-        df.groupBy(*by, F.pmod(draw, F.lit(cuts)).alias("_h"))
+        df.where(F.pmod(draw, F.lit(DRAWN)) == 0)
+        .groupBy(*by, F.pmod(F.shiftright(draw, 32), F.lit(cuts)).alias("_h"))
         .agg(F.min(F.struct(draw.alias("d"), key.alias("k"))).alias("_d"))
         .groupBy(*by)
         .agg(F.array_sort(F.collect_list("_d.k")).alias("_cuts"))
     )
-    placed = df.join(drawn, by).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < key)).cast("smallint")
-    ).drop("_cuts")
+    below = [F.coalesce((F.get("_cuts", F.lit(i)) < key).cast("int"), F.lit(0)) for i in range(cuts)]
+    placed = df.join(sent(drawn), by, "left").withColumn("_piece", sum(below[1:], below[0]).cast("smallint")).drop("_cuts")
     sizes = placed.groupBy(*by, "_piece").agg(F.sum(measure).alias("_size"))
     group = Window.partitionBy(*by)
     offsets = sizes.select(
@@ -57,7 +62,7 @@ def split_prefix(
         F.sum("_size").over(group).alias("_total"),
     )
     inside = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.repartition(*by, "_piece").join(offsets, [*by, "_piece"])
+    out = placed.repartition(*by, "_piece").join(sent(offsets), [*by, "_piece"])
     tail = [F.col("_total").alias(total)] if total else []
     return out.select(
         *df.columns,
@@ -68,10 +73,10 @@ def split_prefix(
 
 def ordinal_rank(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], *, name: str = "rn", total: str | None = "n",
-    cuts: int = CUTS,
+    cuts: int = CUTS, few: bool = False,
 ) -> DataFrame:
     """``row_number`` from 1 in ``order`` inside each group, plus the group size."""
-    ranked = split_prefix(df, by, order, F.lit(1).cast("bigint"), before=name, total=total, cuts=cuts)
+    ranked = split_prefix(df, by, order, F.lit(1).cast("bigint"), before=name, total=total, cuts=cuts, few=few)
     return ranked.withColumn(name, F.col(name) + 1)
 
 

@@ -73,3 +73,16 @@ def test_ranked_rows_carry_no_copy_of_their_key(spark):
     df = frame(spark, [("g", float(i % 7), f"T{i}") for i in range(50)], "g string, v double, ticker string")
     plan = ordinal_rank(df, ["g"], [F.col("v"), F.col("ticker")])._jdf.queryExecution().executedPlan().toString()
     assert "_key" not in plan
+
+
+def test_ranks_of_few_groups_shuffle_rows_once(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice((0.0, rng.random())), f"T{i:05d}") for g, n in (("a", 4000), ("b", 40), ("c", 1)) for i in range(n)]
+    df = frame(spark, rows, "g string, v double, ticker string")
+    order = [F.col("v"), F.col("ticker")]
+    ranked = ordinal_rank(df, ["g"], order, few=True)
+    assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+    want = {(g, t): (i + 1, sum(r[0] == g for r in rows)) for g in "abc"
+            for i, (_, _, t) in enumerate(sorted(r for r in rows if r[0] == g))}
+    for got in (ranked, ordinal_rank(df, ["g"], order), ordinal_rank(df, ["g"], order, cuts=3)):
+        assert {(r["g"], r["ticker"]): (r["rn"], r["n"]) for r in got.collect()} == want
