@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.session import cut
+from pitlane.session import cut, parts
 
 # One line of the order table as integers.
 LINE = {
@@ -324,6 +324,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self) -> int:
+        """Rows of the larger of the two tables that the others are derived from, as the files' footers have them."""
+        return max(self.raw(name).count() for name in ("lineitem", "events"))
+
     def _line(self, *cols: str) -> DataFrame:
         return self.raw("lineitem").selectExpr(*[f"{LINE[c]} AS {c}" for c in cols])
 
@@ -334,7 +338,8 @@ class Tables:
     @cached_property
     def bars(self) -> DataFrame:
         # Nearly every line is a bar of its own, so adding lines up before the shuffle would only fill memory with them.
-        lines = self._line("ticker", "suppkey", "date", "q", "c", "ln", "px").repartition("ticker", "date")
+        lines = self._line("ticker", "suppkey", "date", "q", "c", "ln", "px").repartition(
+            parts(self.spark), "ticker", "date")
         daily = lines.groupBy("ticker", "date")
         return daily.agg(*self._agg(BAR)).selectExpr(
             "ticker", "date", "open", "high", "low", "close",
