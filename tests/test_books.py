@@ -332,6 +332,15 @@ def test_unsolved_baskets_are_told(spark):
     assert mean_variance_weights(windows.limit(0)).count() == 0
 
 
+def test_a_step_may_be_far_too_long(spark):
+    """Heavy tails leave few names held; the way to the others is then a tiny part of a Newton step."""
+    rets = np.random.default_rng(211).lognormal(0, 2.0, (20, 6)) - 1
+    windows = frame(spark, [("b", day("2020-01-01"), f"N{i:02d}", r.tolist()) for i, r in enumerate(rets)],
+                    "run_id string, date date, ticker string, rets array<double>")
+    told, = basket_status(windows, mode="mean_var", risk_aversion=3.0).collect()
+    assert told.n_names == 20 and told.converged and told.sums_to_one and told.long_only and told.optimal
+
+
 def test_weights_are_divided_by_their_own_sum(spark):
     """The total a solve ended with carries the rounding of another order of addition."""
     rows = frame(spark, [("b", day("2020-01-01"), t, mu, [0.1, -0.1]) for t, mu in (("A", 0.3), ("B", 0.2), ("C", -9.0))],
