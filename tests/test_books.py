@@ -300,6 +300,24 @@ def test_a_basket_travels_in_few_blocks(spark, monkeypatch):
     assert np.abs(got["cov"].to_numpy() - (np.cov(rets, ddof=1) + 0.5 * np.eye(600))[i, j]).max() < 1e-12
 
 
+def test_returns_travel_a_few_times_whatever_the_names(spark, monkeypatch):
+    """A block goes to every block of its basket, so the number of blocks is what a name's returns are multiplied by."""
+    stored = []
+
+    def keep(df):
+        stored.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(frontier, "cut", keep)
+    rets = np.random.default_rng(4).normal(0, 0.1, (2000, 3))
+    windows = frame(spark, [("b", day("2020-01-01"), f"T{i:04d}", r.tolist()) for i, r in enumerate(rets)],
+                    "run_id string, date date, ticker string, rets array<double>")
+    out = covariance_pairs(windows).agg(F.count("*").alias("n"), F.sum("cov").alias("all")).first()
+    assert stored == [4] and out.n == 2000 * 2001 // 2
+    want = np.cov(rets, ddof=1)
+    assert abs(out["all"] - np.triu(want).sum()) < 1e-6
+
+
 @pytest.mark.parametrize("mode,aversion,ridge", [("min_var", 1.0, 1e-6), ("min_var", 1.0, 0.0), ("mean_var", 3.0, 1e-4),
                                                  ("mean_var", 50.0, 1e-6), ("mean_var", 0.0, 1e-6)])
 def test_weights_reach_the_optimum(spark, mode, aversion, ridge):
