@@ -160,16 +160,36 @@ def cross_sections(
 ) -> DataFrame:
     """Members of each date with their features and the demeaned label, as one long table.
 
-    The feature rows are stored once (see :func:`pitlane.session.cut`): the
-    labels, the counts per date and all that follows read them again.
+    The feature rows are stored once (see :func:`feature_table`): the labels, the counts per date and all that follows
+    read them again.
     """
-    names = members_on(dates, membership)
-    capped = market_caps_at(names, caps)
-    stored = cut(count_known(features_at(capped, filings, dimension=dimension)))
+    if target == "ret" and prices is None:
+        raise ValueError("the 'ret' target needs prices")
+    stored = feature_table(dates, membership, caps, filings, prices=prices if target == "ret" else None, dimension=dimension)
+    return sections_of(stored, target, sectors=sectors, min_names=min_names, min_features=min_features)
+
+
+def feature_table(
+    dates: DataFrame, membership: DataFrame, caps: DataFrame, filings: DataFrame, *, prices: DataFrame | None = None,
+    dimension: str = "ART", features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """Members of each date with their market value, the named features and how many of all are known, stored once.
+
+    With ``prices`` it has the return to the next date too, worked out on names and dates before they carry features.
+    """
+    keys = market_caps_at(members_on(dates, membership), caps)
+    if prices is not None:
+        keys = with_target(keys, "ret", prices=prices, dates=dates)
+    counted = count_known(features_at(keys, filings, dimension=dimension))
+    return cut(counted.select(*keys.columns, *features, "n_features"))
+
+
+def sections_of(
+    stored: DataFrame, target: str, *, sectors: DataFrame | None = None, min_names: int = 50, min_features: int = 10,
+) -> DataFrame:
+    """The cross-sections of one target from a :func:`feature_table`, which several targets may share."""
     rows = enough_features(stored, min_features)
-    labelled = with_target(rows, target, prices=prices, dates=dates)
-    if target == "ret":
-        labelled = cut(labelled)
+    labelled = rows if target == "ret" else with_target(rows, target)
     counted = attach(labelled, ["date"], few=True, n_names=F.count(F.lit(1)), _mean=F.avg("target"))
     panel = (
         counted.where(F.col("n_names") >= min_names)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from pitlane.operators.models import ablated_scores
+from pitlane.operators.panel import FEATURES, feature_table, sections_of
 from pitlane.operators.signals import score_returns, signal_months, signal_summary, valuation_error
 from pitlane.plans.fixtures import Tables, with_ctes
 from pitlane.plans.queries_models import BURN_IN
-from pitlane.plans.queries_panel import MIN_NAMES, panel
+from pitlane.plans.queries_panel import MIN_NAMES
 from pitlane.plans.queries_signals import nw_sql
 from pitlane.plans.queries_sources import r6, rounded
 from pitlane.plans.registry import query
@@ -17,10 +20,16 @@ from pitlane.session import cut
 FIGURES = ("median_ape", "mean_ic", "ic_t", "mean_spread", "spread_t")
 
 
+def cell_panels(t: Tables, features: Sequence[str] = FEATURES) -> dict[str, DataFrame]:
+    """The panels of both targets, read from one stored table of the named features."""
+    stored = feature_table(t.month_ends, t.members, t.caps, t.filings, features=features)
+    return {target: sections_of(stored, target, min_names=MIN_NAMES) for target in ("cap", "mb")}
+
+
 def cell_table(t: Tables, scores: DataFrame) -> DataFrame:
     """Per cell: valuation error of all scores, and how the scores order the next month's returns."""
-    stored = cut(scores)
-    pairs = cut(score_returns(stored, t.stored("bars"), by=["cell"]).select("cell", "date", "ticker", "score", "ret"))
+    stored, closes = cut(scores), cut(t.bars.select("ticker", "date", "close"))
+    pairs = cut(score_returns(stored, closes, by=["cell"]).select("cell", "date", "ticker", "score", "ret"))
     months = cut(signal_months(pairs, by=["cell", "date"], min_names=MIN_NAMES))
     told = signal_summary(months, by=["cell"]).select("cell", "mean_ic", "ic_t", "mean_spread", "spread_t", "n_months")
     errors = valuation_error(stored, by=["cell"]).select("cell", "median_ape")
@@ -74,12 +83,11 @@ def _cell_row(cell: str) -> str:
 )
 def signal_cells(t: Tables) -> DataFrame:
     """The four cells of the ablation by a ridge on revenue, which is a level and so changes with the scaling."""
-    panels = {target: cut(panel(t, target)) for target in ("cap", "mb")}
+    panels = cell_panels(t, ["revenue", "assets", "equity"])
     return cell_table(t, ablated_scores(panels, ["revenue"], model="ridge", burn_in=BURN_IN))
 
 
 @query("signal_cells_trees", "I7 I2 G4")
 def signal_cells_trees(t: Tables) -> DataFrame:
     """The four cells by boosted trees on all features."""
-    panels = {target: cut(panel(t, target)) for target in ("cap", "mb")}
-    return cell_table(t, ablated_scores(panels, burn_in=BURN_IN))
+    return cell_table(t, ablated_scores(cell_panels(t), burn_in=BURN_IN))

@@ -77,17 +77,17 @@ def ridge_one_feature_scores(t: Tables) -> DataFrame:
     ),
 )
 def ridge_gram_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t)), ["roe"], burn_in=BURN_IN)
+    return expanding_ridge(panel(t), ["roe"], burn_in=BURN_IN)
 
 
 @query("ridge_scores", "I1 I4 I6 E6")
 def ridge_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t)), burn_in=BURN_IN)
+    return expanding_ridge(panel(t), burn_in=BURN_IN)
 
 
 @query("ridge_return_scores", "I1 I4 H4")
 def ridge_return_scores(t: Tables) -> DataFrame:
-    return expanding_ridge(cut(panel(t, "ret")), burn_in=BURN_IN, target="ret")
+    return expanding_ridge(panel(t, "ret"), burn_in=BURN_IN, target="ret")
 
 
 @query(
@@ -108,7 +108,7 @@ def placebo_label_sums(t: Tables) -> DataFrame:
 
 @query("ridge_placebo_error", "I5 D36")
 def ridge_placebo_error(t: Tables) -> DataFrame:
-    scores = expanding_ridge(cut(panel(t)), burn_in=BURN_IN, placebo_seed=7)
+    scores = expanding_ridge(panel(t), burn_in=BURN_IN, placebo_seed=7)
     return valuation_error(cut(scores))
 
 
@@ -140,4 +140,4 @@ def tree_score_dates(t: Tables) -> DataFrame:
 
 @query("return_prediction_size", "D37 I4")
 def return_prediction_size(t: Tables) -> DataFrame:
-    return prediction_size(cut(expanding_ridge(cut(panel(t, "ret")), burn_in=BURN_IN, target="ret")))
+    return prediction_size(cut(expanding_ridge(panel(t, "ret"), burn_in=BURN_IN, target="ret")))

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from pitlane.operators import panel as panels
 from pitlane.operators.dedupe import last_wins_filings
 from pitlane.operators.panel import (
     FEATURES, REQUIRED_FIELDS, cross_sections, demean, features_at, rank_normalise, scale_by_assets,
@@ -10,6 +11,9 @@ from pitlane.operators.panel import (
 from pitlane.operators.universe import (
     active_since, members_on, membership_spells, reconcile, sector_codes, select_tickers,
 )
+from pitlane.plans.fixtures import Tables
+from pitlane.plans.queries_ablation import cell_panels
+from pitlane.plans.queries_panel import panel
 from tests.helpers import day, frame, tuples
 
 SPELL = "ticker string, start_date date, end_date date"
@@ -188,3 +192,20 @@ def test_members_come_once_without_being_gathered(spark):
         ("A", day("2020-01-31")), ("A", day("2020-02-15")), ("A", day("2020-03-31")), ("C", day("2020-02-15"))]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "Aggregate" not in plan[:plan.index("Generate")]
+
+
+def test_targets_share_one_table_of_the_features_they_need(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(panels, "cut", lambda df: stored.append(df.columns) or df)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    both = cell_panels(t, ["revenue", "assets", "equity"])
+    assert sorted(both) == ["cap", "mb"]
+    assert stored == [["ticker", "date", "marketcap", "revenue", "assets", "equity", "n_features"]]
+
+
+def test_return_labels_do_not_carry_features(spark, monkeypatch):
+    """Labels are worked out on names and dates, so the features are stored once, with the label."""
+    stored = []
+    monkeypatch.setattr(panels, "cut", lambda df: stored.append(df.columns) or df)
+    panel(Tables(spark, "/root/testdata/sf0.001"), "ret")
+    assert len(stored) == 1 and "target" in stored[0]
