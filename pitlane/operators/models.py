@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pitlane.functions.scalar import round_half_up
 from pitlane.operators.boosting import Bins, binned, grow, learn_bins, predict
 from pitlane.operators.panel import (
-    DEFLATOR, FEATURES, TARGETS, demean, feature_vectors, rank_normalise, scale_by_assets,
+    DEFLATOR, FEATURES, TARGETS, demean, rank_normalise, rank_vectors, scale_by_assets,
 )
 from pitlane.operators.ranks import ordinal_rank
 from pitlane.session import cut
@@ -140,7 +140,7 @@ def emit_scores(predictions: DataFrame, target: str, by: Sequence[str] = ()) ->
 def design_vectors(panel: DataFrame, features: Sequence[str] = FEATURES, by: Sequence[str] = ()) -> DataFrame:
     """(by, date, ticker, x, target) with rank-normalised features; a row without any known feature is all 0."""
     keys = [*by, "date"]
-    vectors = feature_vectors(rank_normalise(panel, features, by=keys), len(features), by=keys)
+    vectors = rank_vectors(panel, features, by=keys)
     zero = F.array_repeat(F.lit(0.0), len(features))
     return panel.select(*keys, "ticker", "target").join(vectors, [*keys, "ticker"], "left").withColumn(
         "x", F.coalesce("x", zero)

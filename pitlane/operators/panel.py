@@ -210,15 +210,43 @@ def rank_normalise(
     Only known values are listed; a missing value counts as 0, as does a lone
     one. Ties go in ticker order. All features share one shuffle.
     """
+    ranked = ordinal_rank(_known_values(panel, features, by, name), [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts, few=True)
+    return ranked.select(*by, name, "feature", _scaled_rank(F.col("rn"), F.col("n")).alias("z"))
+
+
+def _known_values(panel: DataFrame, features: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).alias("v")) for i, f in enumerate(features)])
-    long = panel.select(*by, name, F.explode(pairs).alias("_f")).select(*by, name, "_f.feature", "_f.v").where(
+    return panel.select(*by, name, F.explode(pairs).alias("_f")).select(*by, name, "_f.feature", "_f.v").where(
         F.col("v").isNotNull()
     )
-    ranked = ordinal_rank(long, [*by, "feature"], [F.col("v"), F.col(name)], cuts=cuts, few=True)
-    z = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
-        (F.col("rn") - 1) / F.greatest(F.col("n") - 1, F.lit(1)) * 2.0 - 1.0
-    )
-    return ranked.select(*by, name, "feature", z.alias("z"))
+
+
+def _scaled_rank(rank: F.Column, n: F.Column) -> F.Column:
+    return F.when(n < 2, F.lit(0.0)).otherwise((rank - 1) / F.greatest(n - 1, F.lit(1)) * 2.0 - 1.0)
+
+
+#: A rank and its feature travel as one number, the feature above this many bits.
+RANK_BITS = 40
+
+
+def rank_vectors(
+    panel: DataFrame, features: Sequence[str] = FEATURES, *, by: Sequence[str] = ("date",), name: str = "ticker", cuts: int = 8,
+) -> DataFrame:
+    """``(by, ticker, x)``: what :func:`rank_normalise` and :func:`feature_vectors` give, for rows with a known value.
+
+    A rank goes back to its row as one small whole number; the sizes of the groups, a few per date, are sent to the rows.
+    """
+    ranked = ordinal_rank(
+        _known_values(panel, features, by, name), [*by, "feature"], [F.col("v"), F.col(name)], total=None, cuts=cuts, few=True)
+    code = F.shiftleft(F.col("feature").cast("bigint"), RANK_BITS) + F.col("rn")
+    known = ranked.select(*by, name, code.alias("_code")).groupBy(*by, name).agg(F.collect_list("_code").alias("_codes"))
+    sizes = panel.groupBy(*by).agg(F.array(*[F.count(f) for f in features]).alias("_sizes"))
+    rank_of = F.map_from_arrays(
+        F.transform("_codes", lambda c: F.shiftright(c, RANK_BITS).cast("int")),
+        F.transform("_codes", lambda c: c.bitwiseAND(F.lit((1 << RANK_BITS) - 1))))
+    slots = F.sequence(F.lit(0), F.lit(len(features) - 1))
+    z = F.transform(slots, lambda i: F.coalesce(_scaled_rank(F.try_element_at("_r", i), F.get("_sizes", i)), F.lit(0.0)))
+    return known.select(*by, name, rank_of.alias("_r")).join(F.broadcast(sizes), list(by)).select(*by, name, z.alias("x"))
 
 
 def feature_vectors(long: DataFrame, n_features: int, *, by: Sequence[str] = ("date",), name: str = "ticker") -> DataFrame:

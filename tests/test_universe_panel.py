@@ -209,3 +209,13 @@ def test_return_labels_do_not_carry_features(spark, monkeypatch):
     monkeypatch.setattr(panels, "cut", lambda df: stored.append(df.columns) or df)
     panel(Tables(spark, "/root/testdata/sf0.001"), "ret")
     assert len(stored) == 1 and "target" in stored[0]
+
+
+def test_ranks_travel_as_one_number(spark):
+    rows = [(day(f"2020-0{m}-01"), f"T{i:02d}", None if i % 5 == m else float(i * 7 % 11), float(i % 2) if m == 1 else None)
+            for m in (1, 2) for i in range(23)] + [(day("2020-03-01"), "T01", 1.0, None), (day("2020-03-01"), "T02", None, None)]
+    table = frame(spark, rows, "date date, ticker string, a double, b double")
+    got = panels.rank_vectors(table, ["a", "b"])
+    want = panels.feature_vectors(rank_normalise(table, ["a", "b"]), 2)
+    assert tuples(got) == tuples(want) and got.schema["x"].dataType == want.schema["x"].dataType
+    assert "collect_list(_code" in got._jdf.queryExecution().executedPlan().toString()
