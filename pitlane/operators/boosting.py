@@ -9,7 +9,7 @@ kept between passes are the trees, a few bytes per model, tree and node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Models whose sums a task holds at a time, and rows it works on at a time.
-HELD, CHUNK = 64, 16_384
+#: Models whose sums a task holds at a time, rows it works on at a time, and the most bins two features are added up in together.
+HELD, CHUNK, PAIRED = 64, 65_536, 16_384
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,8 @@ def descend(columns: np.ndarray, feature: np.ndarray, left: np.ndarray, levels:
         for bit in range(level):
             # Of each pair of nodes the one that the path so far has led to, from the last turn back to the first.
             turned = (at >> bit) & 1 == 1
-            ways = [np.where(turned, right, other) for other, right in zip(ways[::2], ways[1::2], strict=True)]
+            # By bits, not by choosing: which way a row goes cannot be foretold, and a processor that guesses is slow.
+            ways = [other ^ ((other ^ right) & turned) for other, right in zip(ways[::2], ways[1::2], strict=True)]
         at = 2 * at + ways[0]
     return at
 
@@ -112,6 +113,21 @@ def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray
             yield int(g), section[part], y[part], np.ascontiguousarray(x[part].T.astype(_small(width)))
 
 
+def _merged(blocks: Iterable[tuple]) -> list[tuple]:
+    """The blocks of all batches put together by group, in order of sections and cut anew: a batch has few rows of a group."""
+    groups: dict[int, list[tuple]] = {}
+    for grp, *block in blocks:
+        groups.setdefault(grp, []).append(block)
+    out = []
+    for grp in sorted(groups):
+        section, y, x = (np.concatenate(v, axis=-1) for v in zip(*groups.pop(grp), strict=True))
+        order = np.argsort(section, kind="stable")
+        for start in range(0, len(order), CHUNK):
+            part = order[start:start + CHUNK]
+            out.append((grp, section[part], y[part], np.ascontiguousarray(x[:, part])))
+    return out
+
+
 def binned(rows: DataFrame, bins: Bins, features: Sequence[str], keep: Sequence[str] = ("date", "ticker")) -> DataFrame:
     """(keep, grp, section, target, bins): ``rows`` has ``grp`` and ``section`` and the named features."""
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +144,26 @@ def binned(rows: DataFrame, bins: Bins, features: Sequence[str], keep: Sequence[
     return kept.mapInArrow(turn, f"{head}, grp int, section int, target double, bins array<smallint>")
 
 
+def _places(x: np.ndarray, nodes: int, width: int) -> tuple[np.ndarray, int]:
+    """The bins of a chunk's columns, and how many of the first columns come in pairs, one joint bin for two."""
+    shared = len(x) // 2 * 2 if nodes * width ** 2 <= PAIRED else 0
+    wide = x.astype(np.int64)
+    return np.concatenate([wide[:shared:2] * width + wide[1:shared:2], wide[shared:]]), shared
+
+
 def _sums(rows: DataFrame, forest: Forest, tree: tuple[np.ndarray, np.ndarray], level: int, width: int) -> DataFrame:
     """(model, node, total, count): residual sums and counts of a level's nodes by feature and bin, one row per task.
 
     A task keeps its bins, a byte or two each, and the sums of ``HELD`` models at a time. A feature's sums of a model are
-    one pass over its column of a chunk of rows, small enough to stay near the processor.
+    one pass over its column of a chunk of rows, small enough to stay near the processor. Two features share a pass where
+    the bins of both together are few: their joint sums are then added up along either.
     """
     nodes, feature_bins = 1 << level, width << level
     wanted = np.arange(len(forest.first))
     feature, left = tree
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [part for batch in batches for part in _blocks(batch, width)]
+        held = _merged(part for batch in batches for part in _blocks(batch, width))
         if not held:
             return
         d = len(held[0][3])
@@ -152,14 +176,23 @@ def _sums(rows: DataFrame, forest: Forest, tree: tuple[np.ndarray, np.ndarray],
                 asked = np.flatnonzero((forest.group[some] == grp) & (ends > 0))
                 if not len(asked):
                     continue
-                place = x.astype(np.int64)
+                place, shared = _places(x, nodes, width)
                 for k in asked:
                     m, end = some[k], ends[k]
                     z = x[:, :end]
                     rest = y[:end] - forest.predict(m, z)
-                    at = descend(z, feature[m], left[m], level).astype(np.int64) * width
-                    for j in range(d):
-                        flat = place[j, :end] + at if level else place[j, :end]
+                    at = descend(z, feature[m], left[m], level).astype(np.int64)
+                    joint = at * width ** 2
+                    for j in range(0, shared, 2):
+                        flat = place[j // 2, :end] + joint if level else place[j // 2, :end]
+                        for out, sums in ((total, np.bincount(flat, rest, nodes * width ** 2)),
+                                          (count, np.bincount(flat, minlength=nodes * width ** 2))):
+                            both = sums.reshape(nodes, width, width)
+                            out[k, j] += both.sum(axis=2).ravel()
+                            out[k, j + 1] += both.sum(axis=1).ravel()
+                    at *= width
+                    for j in range(shared, d):
+                        flat = place[j - shared // 2, :end] + at if level else place[j - shared // 2, :end]
                         total[k, j] += np.bincount(flat, rest, feature_bins)
                         count[k, j] += np.bincount(flat, minlength=feature_bins)
             total, count = (np.moveaxis(v.reshape(len(some), d, nodes, width), 2, 1) for v in (total, count))

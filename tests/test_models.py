@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitlane.operators import boosting
 from pitlane.operators.boosting import best_split, descend
 from pitlane.operators.models import (
     ablated_scores, boosted_scores, design_vectors, emit_scores, expanding_ridge, expanding_trees, one_feature_ridge, placebo_labels,
@@ -261,3 +262,21 @@ def test_ablation_cells_are_the_single_fits(spark):
             ablated_scores({"cap": panel}, used, **bad)
     with pytest.raises(ValueError):
         ablated_scores({"ret": panel}, used)
+
+
+def test_two_features_share_a_pass():
+    x = np.random.default_rng(5).integers(0, 8, (5, 40)).astype(np.uint8)
+    place, shared = boosting._places(x, 4, 8)
+    assert shared == 4 and len(place) == 3
+    assert (place[0] == x[0] * 8 + x[1]).all() and (place[1] == x[2] * 8 + x[3]).all() and (place[2] == x[4]).all()
+    place, shared = boosting._places(x, 4, 200)
+    assert shared == 0 and (place == x).all()
+
+
+def test_rows_of_all_batches_are_added_up_together():
+    x = np.arange(12, dtype=np.uint8).reshape(2, 6)
+    parts = [(1, np.array([0, 3]), np.array([1.0, 2.0]), x[:, :2]), (0, np.array([5]), np.array([3.0]), x[:, 2:3]),
+             (1, np.array([0, 2, 4]), np.array([4.0, 5.0, 6.0]), x[:, 3:])]
+    (g, s, y, b), (h, t, z, c) = boosting._merged(parts)
+    assert (g, s.tolist(), y.tolist(), b.tolist()) == (0, [5], [3.0], [[2], [8]])
+    assert (h, t.tolist(), z.tolist(), c.tolist()) == (1, [0, 0, 2, 3, 4], [1.0, 4.0, 5.0, 2.0, 6.0], [[0, 3, 4, 1, 5], [6, 9, 10, 7, 11]])
